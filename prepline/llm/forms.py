@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prepline.session import cut
+
 # Letters drawn like a Latin letter, each above the Latin letter it counts as.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХԚԜԌ" "аеѕіјорсухԛԝһԁӏ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXQWG" "aesijopcyxqwhdl"
@@ -23,6 +25,9 @@ HYPHENS = "‐‑֊᐀⁃﹣-"
 # Characters without width that are no format characters.
 WIDTHLESS = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 
+#: Bytes of text whose code points are laid out at once; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 21
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -116,9 +121,17 @@ def _compose(cp: np.ndarray, doc: np.ndarray, cls: np.ndarray, t: Tables) -> np.
 
 
 def _one_form(batch: pa.Array) -> pa.Array:
-    """The texts of an Arrow array in one form; nulls stay null."""
-    t = tables()
+    """The texts of an Arrow array in one form; nulls stay null. Worked off in slices of some ``SLICE_BYTES``."""
     batch = batch.cast(pa.large_string()) if batch.type != pa.large_string() else batch
+    n = len(batch)
+    ends = np.frombuffer(batch.buffers()[1], np.int64)[batch.offset : batch.offset + n + 1] if n else np.zeros(1, np.int64)
+    cuts = np.unique(np.searchsorted(ends - ends[0], np.arange(0, ends[-1] - ends[0], SLICE_BYTES), side="right") - 1) if n else []
+    parts = [_one_slice(batch.slice(a, b - a)) for a, b in zip(cuts, [*cuts[1:], n])] if len(cuts) else [_one_slice(batch)]
+    return pa.concat_arrays(parts)
+
+
+def _one_slice(batch: pa.Array) -> pa.Array:
+    t = tables()
     nulls = batch.is_null().to_numpy(zero_copy_only=False)
     batch = batch.fill_null("")
     n = len(batch)
@@ -194,8 +207,6 @@ def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .where(F.col("form").rlike(r"\S"))
         .select("doc_id", F.unhex(F.sha2("form", 256)).alias("form_key"), F.unhex(F.sha2("text", 256)).alias("text_key"))
     )
-    from prepline.session import cut
-
     keyed = cut(keyed)
     ends = keyed.groupBy("form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("form_key")
     mixed = keyed.join(ends, "form_key", "left_semi")
