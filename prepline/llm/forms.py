@@ -202,12 +202,10 @@ def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     SHA-256. Only forms with two or more different texts go on, and documents are joined through the pairs of
     those texts, so copies of one text never meet each other, however many there are.
     """
-    keyed = (
-        unify_text(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
-        .where(F.col("form").rlike(r"\S"))
-        .select("doc_id", F.unhex(F.sha2("form", 256)).alias("form_key"), F.unhex(F.sha2("text", 256)).alias("text_key"))
-    )
-    keyed = cut(keyed)
+    formed = unify_text(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    # the form is used in one projection only, else it would be made once for each use
+    keys = formed.select("doc_id", F.when(F.col("form").rlike(r"\S"), F.unhex(F.sha2("form", 256))).alias("form_key"), F.unhex(F.sha2("text", 256)).alias("text_key"))
+    keyed = cut(keys).where(F.col("form_key").isNotNull())
     ends = keyed.groupBy("form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("form_key")
     mixed = keyed.join(ends, "form_key", "left_semi")
     texts = mixed.select("form_key", "text_key").distinct()
