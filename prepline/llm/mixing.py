@@ -33,7 +33,8 @@ def order_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     document is a hash of its id, and a source is cut into ranges of that key, so that a source that holds most
     of the rows is spread over many tasks: only the sums of its ranges pass through one window.
     """
-    sized = cut(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source_name"), token_count(F.col(f"`{text_col}`"), vocabulary).alias("n_tokens")).where("source_name is not null and n_tokens > 0"))
+    counted = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source_name"), token_count(F.col(f"`{text_col}`"), vocabulary).alias("n_tokens")).where("source_name is not null")
+    sized = cut(counted).where("n_tokens > 0")  # filtered after it is written, else texts would be encoded twice
     bits = max(0, math.ceil(math.log2(max(1, sized.count()) / RANGE_ROWS)))
     keyed = sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("range", F.shiftright("key", 63 - bits) if bits else F.lit(0).cast("bigint"))
     sums = keyed.groupBy("source_name", "range").agg(F.sum("n_tokens").alias("range_tokens"))
