@@ -2,51 +2,148 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prepline.llm.encoding import encode_corpus
 from prepline.llm.forms import look_alike_pairs, unify_text
 from prepline.llm.mixing import mix_sources
+from prepline.llm.quantiles import build_sketches, merge_sketches, percentiles, rank_error
+from prepline.llm.sampling import sample_plans
+from prepline.llm.terms import count_terms, mark_terms
+from prepline.queries.registry import Query, Registry
+from prepline.session import cut
 from prepline.sources import table
 
-Query = Callable[[SparkSession, str], DataFrame]
+registry = Registry()
+
+_TERMS_SQL = r"""
+with v as (
+  select id, f.field_name, nullif(lower(trim(regexp_replace(f.x, '\s+', ' ', 'g'))), '') item
+  from advertising, lateral (values ('city', city), ('country', country)) f(field_name, x)),
+i as (
+  select id, field_name, 'value' kind, item from v where item is not null
+  union all select id, field_name, 'term', unnest(string_split(item, ' ')) from v where item is not null),
+c as (select field_name, kind, item, count(*) occurrences, count(distinct id) records from i group by 1, 2, 3)
+"""
+
+
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    ads = table(spark, d, "advertising").select("id", "city", "country")
+    n = ads.agg(F.count_distinct("id")).first()[0]
+    return mark_terms(count_terms(ads, ["city", "country"], "id"), n)
+
+
+@registry.query(
+    _TERMS_SQL
+    + """select field_name, kind, item, case when records <= 2 then 'rare' else 'common' end mark
+from c where records between 1 and 2 or records > 0.04 * (select count(distinct id) from advertising)"""
+)
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values and terms of places that are too rare or too common."""
+    return _terms(spark, d).where("mark is not null").select("field_name", "kind", "item", "mark")
+
+
+@registry.query(_TERMS_SQL + "select * from c")
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences and records of all values and terms of places."""
+    return _terms(spark, d).drop("mark")
+
+
+FIELDS, DIMENSIONS = ["area_income", "daily_internet_usage"], ["country", "clicked_on_ad"]
+
+
+def _sketches(spark: SparkSession, d: str) -> DataFrame:
+    return build_sketches(table(spark, d, "advertising"), ["load_id"], DIMENSIONS, FIELDS)
+
+
+@registry.query()
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per load and, where load_id is null, of all loads, per country and per clicked_on_ad."""
+    loads = cut(_sketches(spark, d))
+    whole = merge_sketches(loads).select(F.lit(None).cast("int").alias("load_id"), "dimension", "key", "field", "n", "sketch")
+    return percentiles(loads.unionByName(whole)).withColumn("rank_error", F.when(F.col("n") > 1024, rank_error()).otherwise(0.0))
+
+
+@registry.query(
+    """
+with k as (
+  select load_id, d.dimension, d.key, f.field, f.x
+  from advertising,
+       lateral (values ('country', country), ('clicked_on_ad', clicked_on_ad::varchar)) d(dimension, key),
+       lateral (values ('area_income', area_income), ('daily_internet_usage', daily_internet_usage)) f(field, x)
+  where isfinite(f.x) and f.x > 0)
+select load_id, dimension, key, field, count(*) n, quantile_disc(x, 0.05) p05, quantile_disc(x, 0.25) p25, quantile_disc(x, 0.5) p50,
+       quantile_disc(x, 0.75) p75, quantile_disc(x, 0.95) p95
+from k group by 1, 2, 3, 4"""
+)
+def p3_load_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per load; a load's groups are small enough for exact ones."""
+    return percentiles(_sketches(spark, d))
+
+
+@registry.query(
+    """
+select plan_id, category from sample_plans p left join (
+  select load_id, coalesce(clicked_on_ad::varchar, 'none') category, count(distinct id) n from advertising group by 1, 2) a using (load_id, category)
+where greatest(floor(target_share * sample_size + 0.5), coalesce(min_rows, 0)) > coalesce(n, 0)"""
+)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of plans that can't be met."""
+    return sample_plans(table(spark, d, "advertising"), table(spark, d, "sample_plans")).report.where("short").select("plan_id", "category")
+
+
+@registry.query()
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Required, available and sampled ids of all lines of plans."""
+    return sample_plans(table(spark, d, "advertising"), table(spark, d, "sample_plans")).report
+
+
+@registry.query()
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The samples of all plans."""
+    return sample_plans(table(spark, d, "advertising"), table(spark, d, "sample_plans")).sample
 
 
+@registry.query()
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+@registry.query()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of mixes whose source can't fill its target."""
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).report.where("short").select("mix_id", "source_name")
 
 
+@registry.query()
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Targets and actual shares of all lines of all mixes."""
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
 
 
+@registry.query()
 def p7_picks(spark: SparkSession, d: str) -> DataFrame:
     """The documents of all mixes with their copies."""
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).picks
 
 
+@registry.query()
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same but differ."""
     return look_alike_pairs(table(spark, d, "documents"))
 
 
+@registry.query()
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text in the common form."""
     return unify_text(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p6_ids, p7_found, p7_report, p7_picks, p8_found, p8_forms)}
+    return dict(registry.queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.sql)
