@@ -336,7 +336,7 @@ def cosine_matrix(queries: DataFrame, base: DataFrame, id_col: str, vec_col: str
 
     b, n_blocks = blocks(base, base_rows, "b")
     q, _ = blocks(queries, query_rows, "a")
-    pairs = q.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint")).join(b, "b").select("ids_a", "vs_a", "ids_b", "vs_b")
+    pairs = q.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))).join(b, "b").select("ids_a", "vs_a", "ids_b", "vs_b")
     kind = f"id_a {queries.schema[id_col].dataType.simpleString()}, id_b {base.schema[id_col].dataType.simpleString()}, similarity double"
 
     def multiply(batches):

@@ -14,6 +14,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prepline.functions.safe import finite
 from prepline.functions.sqltext import name
 from prepline.operators.metrics import log_loss_expr, roc_auc
 from prepline.operators.sample import train_test_split
@@ -33,10 +34,14 @@ class RegressionModel(Protocol):
     def predict(self, x: Any) -> Any: ...
 
 
+#: Stands for null, NaN and infinities in vectors, which the trees don't take; a split tells it from all numbers.
+MISSING = -1e18
+
+
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    """A vector column of the features; rows with null or NaN in one are kept with NaN."""
-    filled = {f"__f{i}": F.coalesce(F.col(name(c)).cast("double"), F.lit(float("nan"))) for i, c in enumerate(features)}
-    return VectorAssembler(inputCols=list(filled), outputCol=out, handleInvalid="keep").transform(df.withColumns(filled)).drop(*filled)
+    """A vector column of the features; what isn't a finite number becomes ``MISSING``."""
+    filled = {f"__f{i}": F.coalesce(finite(name(c)), F.lit(MISSING)) for i, c in enumerate(features)}
+    return VectorAssembler(inputCols=list(filled), outputCol=out).transform(df.withColumns(filled)).drop(*filled)
 
 
 def get_numpy(df: DataFrame, target: str, limit: int = 1_000_000):
