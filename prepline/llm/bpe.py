@@ -21,8 +21,9 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Entries of the memo of a worker; it is emptied when full, so memory is bounded and results don't depend on it.
-MEMO = 1 << 17
+#: Entries of the memo of a worker and longest text it keeps; it is emptied when full, so memory is bounded and
+#: results don't depend on it.
+MEMO, MEMO_CHARS = 1 << 17, 64
 
 _SHIFT = 17  # ids are below 2 ** 17 in every vocabulary this reads
 
@@ -153,9 +154,11 @@ class _Memo(dict):
         self.compute = compute
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
-        self[key] = value = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = value
         return value
 
 

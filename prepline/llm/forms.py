@@ -125,8 +125,9 @@ def _one_form(batch: pa.Array) -> pa.Array:
     batch = batch.cast(pa.large_string()) if batch.type != pa.large_string() else batch
     n = len(batch)
     ends = np.frombuffer(batch.buffers()[1], np.int64)[batch.offset : batch.offset + n + 1] if n else np.zeros(1, np.int64)
-    cuts = np.unique(np.searchsorted(ends - ends[0], np.arange(0, ends[-1] - ends[0], SLICE_BYTES), side="right") - 1) if n else []
-    parts = [_one_slice(batch.slice(a, b - a)) for a, b in zip(cuts, [*cuts[1:], n])] if len(cuts) else [_one_slice(batch)]
+    starts = np.searchsorted(ends - ends[0], np.arange(SLICE_BYTES, ends[-1] - ends[0], SLICE_BYTES), side="right") - 1
+    cuts = [0, *np.unique(starts[starts > 0]).tolist(), n]
+    parts = [_one_slice(batch.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
     return pa.concat_arrays(parts)
 
 
