@@ -52,7 +52,8 @@ def str_jaccard(a: Column | str, b: Column | str, substr_size: int = 2) -> Colum
     x, y = _grams(a, substr_size), _grams(b, substr_size)
     short_a, short_b = F.length(a) < substr_size, F.length(b) < substr_size
     both = F.size(F.array_intersect(x, y))
-    return F.when(short_a & short_b, (a == b).cast("double")).when(short_a | short_b, 0.0).when(a.isNotNull() & b.isNotNull(), both / F.greatest(F.size(x) + F.size(y) - both, F.lit(1)))
+    score = F.when(short_a & short_b, (a == b).cast("double")).when(short_a | short_b, 0.0).otherwise(both / F.greatest(F.size(x) + F.size(y) - both, F.lit(1)))
+    return F.when(a.isNotNull() & b.isNotNull(), score)
 
 
 def snowball_stem(word: Column | str, no_stopword: bool = True) -> Column:

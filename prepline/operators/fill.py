@@ -126,12 +126,12 @@ def fill_missing(df: DataFrame, numeric: Sequence[str], levels: Mapping[str, Seq
     some = reduce(lambda a, b: a | b, masks.values())
     fills = fit_fills(df, numeric, levels, group, when, prior)
     whole = df.where(~some).withColumns({f"{c}{suffix}": F.lit(False) for c in fields})
-    keys = {"__group": F.col(f"`{group}`"), "__month": month_of(when)}
-    short = df.where(some).withColumns(keys).join(fills.withColumnsRenamed({"group": "__group", "month": "__month"} | {f"f{i}": f"__f{i}" for i in range(len(fields))}), ["__group", "__month"], "left")
-    can = {c: masks[c] & F.col(f"__f{i}").isNotNull() for i, c in enumerate(fields)}
+    keys = {"__fill_group": F.col(f"`{group}`"), "__fill_month": month_of(when)}
+    short = df.where(some).withColumns(keys).join(fills.withColumnsRenamed({"group": "__fill_group", "month": "__fill_month"} | {f"f{i}": f"__fill_{i}" for i in range(len(fields))}), ["__fill_group", "__fill_month"], "left")
+    can = {c: masks[c] & F.col(f"__fill_{i}").isNotNull() for i, c in enumerate(fields)}
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    short = short.withColumns({f"{c}{suffix}": can[c] for c in fields} | {f"__v{i}": F.when(can[c], F.col(f"__f{i}").cast(kinds[c])).otherwise(F.col(f"`{c}`")) for i, c in enumerate(fields)})
-    filled = {c: F.col(f"__v{i}").alias(c) for i, c in enumerate(fields)}
+    short = short.withColumns({f"{c}{suffix}": can[c] for c in fields} | {f"__fill_value_{i}": F.when(can[c], F.col(f"__fill_{i}").cast(kinds[c])).otherwise(F.col(f"`{c}`")) for i, c in enumerate(fields)})
+    filled = {c: F.col(f"__fill_value_{i}").alias(c) for i, c in enumerate(fields)}
     return short.select(*[filled.get(c, F.col(f"`{c}`")) for c in whole.columns]).unionByName(whole)
 
 

@@ -6,6 +6,8 @@ import itertools
 from collections.abc import Iterator, Sequence
 from typing import Any, Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -61,10 +63,7 @@ def _score(df: DataFrame, model: Any, features: Sequence[str], out: str, idx: in
         return scored.select(*[F.col(name(c)) for c in df.columns if c != out], x.alias(out))
 
     @F.arrow_udf("double")
-    def run(batches: Iterator[tuple]) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for cols in batches:
             x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in cols])
             y = model.predict(x) if idx is None else np.asarray(model.predict_proba(x))[:, idx]
@@ -73,10 +72,7 @@ def _score(df: DataFrame, model: Any, features: Sequence[str], out: str, idx: in
     if len(features) == 1:
 
         @F.arrow_udf("double")
-        def run_one(batches: Iterator) -> Iterator:
-            import numpy as np
-            import pyarrow as pa
-
+        def run_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for c in batches:
                 x = np.asarray(c.to_numpy(zero_copy_only=False), dtype=float).reshape(-1, 1)
                 yield pa.array(np.asarray(model.predict(x) if idx is None else np.asarray(model.predict_proba(x))[:, idx], dtype=float))

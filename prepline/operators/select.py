@@ -92,6 +92,19 @@ def _radii(x: np.ndarray, k: int) -> np.ndarray:
     return best
 
 
+def _nearer(x: np.ndarray, here: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """How many of the sorted numbers are nearer than r to each of some of them.
+
+    The k-th neighbour lies exactly at r; sums are rounded, so the ends are set right by the differences.
+    """
+    low, high = np.searchsorted(x, here - r, side="left"), np.searchsorted(x, here + r, side="right")
+    last = len(x) - 1
+    for _ in range(3):
+        low = np.where((low > 0) & (here - x[np.maximum(low - 1, 0)] < r), low - 1, np.where(here - x[np.minimum(low, last)] >= r, low + 1, low))
+        high = np.where((high <= last) & (x[np.minimum(high, last)] - here < r), high + 1, np.where(x[np.maximum(high - 1, 0)] - here >= r, high - 1, high))
+    return high - low
+
+
 def mutual_info(df: DataFrame, target: str, conti_cols: Sequence[str] | None = None, n_neighbors: int = 3, seed: int = 42, block_rows: int = 200_000) -> DataFrame:
     """``feature, estimated_mi``: mutual information of continuous columns with a discrete target by nearest neighbours.
 
@@ -129,9 +142,8 @@ def mutual_info(df: DataFrame, target: str, conti_cols: Sequence[str] | None = N
             mine = own[at] == block
             if not mine.any():
                 continue
-            r = np.nextafter(_radii(x[at], k)[mine], 0) if len(at) > k else np.full(int(mine.sum()), np.inf)
-            here = x[at][mine]
-            m = np.searchsorted(x, here + r, side="right") - np.searchsorted(x, here - r, side="left")
+            r = _radii(x[at], k)[mine] if len(at) > k else np.full(int(mine.sum()), np.inf)
+            m = _nearer(x, x[at][mine], r)
             total += float(np.sum(digamma(np.maximum(m, 1))))
         return pa.table({"feature": group["feature"].slice(0, 1).combine_chunks(), "s": pa.array([total])})
 
