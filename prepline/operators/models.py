@@ -22,6 +22,7 @@ from prepline.operators.metrics import log_loss_expr, roc_auc
 from prepline.operators.sample import train_test_split
 from prepline.plans.steps import Step, recorded
 from prepline.session import cut
+from prepline.sources import DataCube
 
 
 class ClassifModel(Protocol):
@@ -46,13 +47,13 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(filled), outputCol=out).transform(df.withColumns(filled)).drop(*filled)
 
 
-def get_numpy(df: DataFrame, target: str, limit: int = 1_000_000):
-    """(X, y, features) as NumPy; for frames of at most ``limit`` rows, else it raises."""
+def get_numpy(df: DataFrame, target: str, limit: int = 1_000_000) -> DataCube:
+    """Matrix and target as NumPy; for frames of at most ``limit`` rows, else it raises."""
     rows = df.limit(limit + 1).toPandas()
     if len(rows) > limit:
         raise ValueError(f"the frame has more than {limit} rows; use assemble")
     features = [c for c in df.columns if c != target]
-    return rows[features].to_numpy(), rows[target].to_numpy(), features
+    return DataCube(rows[features].to_numpy(), rows[target].to_numpy(), features, target)
 
 
 def _score(df: DataFrame, model: Any, features: Sequence[str], out: str, idx: int | None) -> DataFrame:

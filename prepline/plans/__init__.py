@@ -2,5 +2,6 @@
 
 from prepline.plans.pipeline import Pipeline
 from prepline.plans.steps import Step, apply_steps, recorded
+from prepline.plans.transformer import StepsTransformer
 
-__all__ = ["Pipeline", "Step", "apply_steps", "recorded"]
+__all__ = ["Pipeline", "Step", "StepsTransformer", "apply_steps", "recorded"]

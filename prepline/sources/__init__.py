@@ -1,5 +1,6 @@
-"""Readers of the tables a query works on."""
+"""Readers and writers."""
 
+from prepline.sources.files import DataCube, release, scan, write
 from prepline.sources.tables import table
 
-__all__ = ["table"]
+__all__ = ["DataCube", "release", "scan", "table", "write"]
