@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from prepline.functions.safe import fdiv, finite, flog
 from prepline.functions.sqltext import lit, name, number
 from prepline.operators.infer import category_counts, infer_binary
+from prepline.operators.quantiles import column_quantiles
 from prepline.operators.schema import get_string_cols
 from prepline.plans.steps import Step, lookup_step, recorded
 
@@ -247,10 +248,8 @@ def fixed_sized_binning(df: DataFrame, cols: Sequence[str], interval: float, suf
 @recorded
 def quantile_binning(df: DataFrame, cols: Sequence[str], n_bins: int, suffix: str = "", accuracy: int | None = None) -> list[Step]:
     """Intervals between quantiles (exact, or approximate with an accuracy); null stays null."""
-    ps = F.array(*[F.lit(k / n_bins) for k in range(1, n_bins)])
-    q = (lambda x: F.percentile(x, ps)) if accuracy is None else (lambda x: F.percentile_approx(x, ps, accuracy))
-    r = df.agg(*[q(finite(name(c))).alias(str(i)) for i, c in enumerate(cols)]).first()
-    return [Step("with_columns", {c + suffix: interval_sql(name(c), r[i] or []) for i, c in enumerate(cols)})]
+    q = column_quantiles(df, cols, [k / n_bins for k in range(1, n_bins)], accuracy)
+    return [Step("with_columns", {c + suffix: interval_sql(name(c), q[c] or []) for c in cols})]
 
 
 def format_categorical_target(df: DataFrame, target: str) -> tuple[DataFrame, dict[Any, int]]:

@@ -73,8 +73,8 @@ def fit_fills(df: DataFrame, numeric: Sequence[str], levels: Mapping[str, Sequen
     sums = [c for c in cells.columns if c[0] in "nsk"]
     months = cells.groupBy("month").agg(*[F.sum(c).alias(f"m_{c}") for c in sums])
     by_group = Window.partitionBy("group")  # as many rows as the group has months
-    # months are few; the join is a broadcast only if the planner finds their table small
-    at = cells.join(months, "month")
+    # a calendar has at most 12 months in 9999 years, so this table is small whatever the data
+    at = cells.join(F.broadcast(months), "month")
     at = at.select("*", *[F.sum(c).over(by_group).alias(f"g_{c}") for c in sums if c[0] in "nk"])
     moments = _variances(cells, range(len(numeric)))
     numbers = range(len(numeric))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prepline.functions.safe import finite
 from prepline.functions.sqltext import lit, name
+from prepline.operators.quantiles import column_modes, column_quantiles
 from prepline.operators.schema import clean_strategy_str, get_numeric_cols
 from prepline.plans.steps import Step, lookup_step, recorded
 
@@ -34,7 +35,13 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "median", const:
     if s in ("const", "constant"):
         values = [const] * len(cols)
     else:
-        values = list(df.agg(*[_statistic(c, s).alias(str(i)) for i, c in enumerate(cols)]).first()) if cols else []
+        if s == "mode":
+            found = column_modes(df, cols)
+        elif s == "median":
+            found = {c: v and v[0] for c, v in column_quantiles(df, cols, [0.5]).items()}
+        else:
+            found = dict(zip(cols, df.agg(*[_statistic(c, s).alias(str(i)) for i, c in enumerate(cols)]).first() if cols else []))
+        values = [found[c] for c in cols]
     return [Step("with_columns", {c: f"COALESCE({name(c)}, {lit(v)})" for c, v in zip(cols, values) if v is not None})]
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from prepline.functions.safe import fdiv, finite, flog
 from prepline.functions.sqltext import lit, name
 from prepline.operators.encode import check_binary_target, interval_sql
+from prepline.operators.quantiles import column_quantiles
 from prepline.plans.steps import Step, lookup_step, recorded
 
 
@@ -288,7 +289,7 @@ def psi_discrete(expected: DataFrame, c1: str, actual: DataFrame, c2: str) -> fl
 def psi_table(expected: DataFrame, c1: str, actual: DataFrame, c2: str, n_bins: int = 10, clip: float = 1e-5) -> DataFrame:
     """``range, expected%, actual%, psi`` over the quantile bins of the expected values; empty bins are clipped."""
     x, y = finite(name(c1)), finite(name(c2))
-    cuts = expected.agg(F.percentile(x, F.array(*[F.lit(k / n_bins) for k in range(1, n_bins)]))).first()[0]
+    cuts = column_quantiles(expected, [c1], [k / n_bins for k in range(1, n_bins)])[c1]
     if not cuts:
         raise ValueError(f"{c1} has no values")
     a = expected.select(x.alias("x")).where("x is not null").groupBy(F.expr(interval_sql("x", cuts)).alias("range")).agg(F.count(F.lit(1)).alias("a"))

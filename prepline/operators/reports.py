@@ -11,6 +11,7 @@ from prepline.functions.safe import INF, NAN, fdiv, finite, is_invalid, safe_cor
 from prepline.functions.sqltext import name
 from prepline.operators.infer import category_counts, infer_discretes
 from prepline.operators.metrics import psi, psi_discrete
+from prepline.operators.quantiles import column_modes, column_quantiles, is_large
 from prepline.operators.schema import get_numeric_cols, get_string_cols, kinds
 from prepline.operators.strings import time_buckets
 
@@ -87,11 +88,14 @@ def data_profile(df: DataFrame, percentiles: Sequence[float] = (0.25, 0.75), exc
 
     ``column, dtype, null_pct, min, max`` (as text), ``mean, std, median, skew, kurtosis`` (population) and
     ``<q>-percentile``; text columns have null moments. NaN and infinities take part in min and max only.
-    Percentiles are exact, or approximate with an ``accuracy``.
+    Percentiles are exact (of a large frame from sorted counts, in a job of their own), or approximate with an
+    ``accuracy``.
     """
     k = kinds(df)
     cols = [c for c in df.columns if k[c] in ("numeric", "string", "bool") and c not in set(exclude)]
     qs = [0.5, *percentiles]
+    large = accuracy is None and is_large(df)
+    found = column_quantiles(df, [c for c in cols if k[c] == "numeric"], qs) if large else {}
     none = F.lit(None).cast("double")
     aggs, cells = [], []
     for i, c in enumerate(cols):
@@ -103,7 +107,10 @@ def data_profile(df: DataFrame, percentiles: Sequence[float] = (0.25, 0.75), exc
             y = finite(x.cast("double"))
             own |= {"mean": F.avg(y), "std": F.stddev_samp(y), "skew": F.skewness(y), "kurtosis": F.kurtosis(y)}
             points = F.array(*map(F.lit, qs))
-            own["q"] = F.percentile(y, points) if accuracy is None else F.percentile_approx(y, points, accuracy)
+            if c in found:
+                own["q"] = F.max(F.array(*map(F.lit, found[c] or [None] * len(qs))).cast("array<double>"))
+            else:
+                own["q"] = F.percentile(y, points) if accuracy is None else F.percentile_approx(y, points, accuracy)
         aggs += [v.alias(f"{i}_{n}") for n, v in own.items() if not (k[c] == "string" and n in ("mean", "std", "skew", "kurtosis", "q"))]
         at = lambda n, i=i, own=own: F.col(f"{i}_{n}").alias(n) if not (k[cols[i]] == "string" and n in ("mean", "std", "skew", "kurtosis", "q")) else own[n].alias(n)
         cells.append(F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), *map(at, ("null_pct", "min", "max", "mean", "std", "skew", "kurtosis", "q"))))
@@ -114,13 +121,14 @@ def data_profile(df: DataFrame, percentiles: Sequence[float] = (0.25, 0.75), exc
 def str_meta_report(df: DataFrame, cols: Sequence[str] | None = None, words_to_count: Sequence[str] | None = None) -> DataFrame:
     """One row per text column: nulls, min, max, mode, byte lengths, average counts of character classes, words."""
     cols = list(cols or get_string_cols(df))
+    modes = column_modes(df, cols)
     found: dict[str, list[Column]] = {}
     for c in cols:
         x = F.col(name(c))
         n = F.octet_length(x)
         count = lambda p, x=x: F.regexp_count(x, F.lit(p))
         found[c] = [
-            F.count(F.when(x.isNull(), 1)).alias("null_count"), F.min(x).alias("min"), F.max(x).alias("max"), F.mode(x, True).alias("mode"), F.min(n).alias("min_byte_len"), F.max(n).alias("max_byte_len"),
+            F.count(F.when(x.isNull(), 1)).alias("null_count"), F.min(x).alias("min"), F.max(x).alias("max"), F.max(F.lit(modes[c])).alias("mode"), F.min(n).alias("min_byte_len"), F.max(n).alias("max_byte_len"),
             F.avg(n).alias("avg_byte_len"), F.median(n).alias("median_byte_len"), F.avg(count(r"\s")).alias("avg_space_cnt"), F.avg(count("[0-9]")).alias("avg_digit_cnt"),
             F.avg(count("[A-Z]")).alias("avg_cap_cnt"), F.avg(count("[a-z]")).alias("avg_lower_cnt"), *[F.sum(count(w)).alias(f"total_{w}_count") for w in words_to_count or ()],
         ]

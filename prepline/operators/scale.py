@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prepline.functions.safe import finite, ratio_sql
 from prepline.functions.sqltext import lit, name
+from prepline.operators.quantiles import column_quantiles
 from prepline.operators.schema import clean_strategy_str
 from prepline.plans.steps import Step, lookup_step, recorded
 
@@ -44,7 +45,11 @@ def scale(df: DataFrame, cols: Sequence[str], strategy: str = "standard", const:
     s = clean_strategy_str(strategy)
     if s in ("const", "constant"):
         return [Step("with_columns", {c: ratio_sql(name(c), lit(float(const))) for c in cols})]
-    r = df.agg(*[a.alias(f"{i}{k}") for i, c in enumerate(cols) for k, a in enumerate(_fitted(s, qcuts, 0, c))]).first() if cols else []
+    if s == "robust":
+        q = column_quantiles(df, cols, qcuts)
+        r = [v for c in cols for v in ((q[c][1], q[c][2] - q[c][0]) if q[c] else (None, None))]
+    else:
+        r = df.agg(*[a.alias(f"{i}{k}") for i, c in enumerate(cols) for k, a in enumerate(_fitted(s, qcuts, 0, c))]).first() if cols else []
     return [Step("with_columns", {c: ratio_sql(f"({name(c)} - {lit(r[2 * i])})", lit(r[2 * i + 1])) for i, c in enumerate(cols)})]
 
 

@@ -15,6 +15,7 @@ from prepline.functions.special import digamma, f_survival, ks_p_value
 from prepline.functions.sqltext import name
 from prepline.operators.encode import _need_binary, woe_table
 from prepline.operators.infer import correlation_pairs, infer_conti
+from prepline.operators.quantiles import cumulative_counts
 from prepline.operators.schema import get_complement, get_numeric_cols, get_string_cols
 from prepline.session import cut
 
@@ -246,14 +247,7 @@ def _one_sample(df: DataFrame, exprs: dict[str, Column], which: str) -> DataFram
     if which not in _CDF:
         raise ValueError(f"unknown distribution {which}; known: {', '.join(_CDF)}")
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), x.alias("x")) for c, x in exprs.items()])
-    counts = df.select(F.inline(cells)).where("x is not null").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
-    ranged = cut(counts.repartitionByRange("feature", "x").withColumn("part", F.spark_partition_id()))
-    parts = ranged.groupBy("feature", "part").agg(F.sum("n").alias("pn"))
-    w = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("feature", "part", F.coalesce(F.sum("pn").over(w), F.lit(0)).alias("s"))
-    total = parts.groupBy("feature").agg(F.sum("pn").alias("all"))
-    inside = Window.partitionBy("feature", "part").orderBy("x")
-    cum = ranged.withColumn("c", F.sum("n").over(inside)).join(starts, ["feature", "part"]).join(total, "feature").withColumn("c", F.col("c") + F.col("s"))
+    cum = cumulative_counts(df.select(F.inline(cells))).withColumnsRenamed({"upto": "c", "total": "all"})
     f = _CDF[which](F.col("x"))
     ks = F.greatest(F.col("c") / F.col("all") - f, f - (F.col("c") - F.col("n")) / F.col("all"))
     rows = [(r["feature"], r["ks"], ks_p_value(r["ks"], r["n"])) for r in cum.groupBy("feature").agg(F.max(ks).alias("ks"), F.max("all").alias("n")).collect()]

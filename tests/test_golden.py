@@ -11,7 +11,7 @@ from prepline.plans import Pipeline, Step
 
 
 def values(df, *cols):
-    return [tuple(r) for r in df.select(*cols or df.columns).collect()]
+    return [tuple(r) for r in (df.select(*cols) if cols else df).collect()]
 
 
 def one(df, c):
@@ -338,6 +338,23 @@ def test_running_sums_and_row_numbers(spark):
     assert sample.row_numbers(t, ["v"]).where("row_nr <> v + 1").count() == 0
 
 
+def test_large_frames_give_the_same_quantiles(spark, monkeypatch):
+    from prepline.operators import quantiles
+
+    t = spark.range(997).select(F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(50)) / 3).alias("a"), F.lit(None).cast("double").alias("b"), F.rand(1).alias("c"), F.lit("s").alias("s"))
+    shares = [0.0, 0.1, 0.25, 0.5, 0.93, 1.0]
+    small = quantiles.column_quantiles(t, ["a", "b", "c"], shares)
+    large = quantiles.sorted_quantiles(t, ["a", "b", "c"], shares)
+    assert large["b"] is None and small["b"] is None
+    for c in "ac":
+        assert large[c] == pytest.approx(small[c])
+    before = values(reports.data_profile(t))
+    monkeypatch.setattr(quantiles, "SORTED_FROM", 0)
+    assert quantiles.is_large(t)
+    for x, y in zip(before, values(reports.data_profile(t))):
+        assert [v if isinstance(v, str) or v is None else pytest.approx(v) for v in x] == list(y)
+
+
 def test_order_and_rename(spark):
     t = frame(spark, [(2,), (None,), (1,)], "A int")
     assert one(columns.order_by(t, "A"), "A") == [None, 1, 2]
