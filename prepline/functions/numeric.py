@@ -78,7 +78,7 @@ def lcm(a: Column | str, b: Column | str | int) -> Column:
 
 
 def count_phrases(items: list | bytes) -> int:
-    """Lempel-Ziv phrases: the text is cut greedily where a phrase wasn't seen before."""
+    """Lempel-Ziv phrases: the text is cut greedily where a phrase wasn't seen before; an unfinished last one is none."""
     seen: set = set()
     phrase: tuple = ()
     for x in items:
@@ -86,7 +86,7 @@ def count_phrases(items: list | bytes) -> int:
         if phrase not in seen:
             seen.add(phrase)
             phrase = ()
-    return len(seen) + (1 if phrase else 0)
+    return len(seen)
 
 
 def lempel_ziv_complexity(values: Column | str, as_ratio: bool = False) -> Column:

@@ -304,13 +304,13 @@ def mrmr_engine(df: DataFrame, k: int, relevance: dict[str, float], strategy: st
     if any(v < 0 for v in relevance.values()):
         raise ValueError("relevance must not be negative")
     cols = list(relevance)
-    k = min(k, len(cols))
+    most = min(k, len(cols))
     pair = correlation_pairs(df, cols)
     corr = {(a, b): 1.0 if math.isnan(r) or math.isinf(r) else abs(r) for (a, b), r in pair.items()}
     of = lambda a, b: corr[a, b] if (a, b) in corr else corr[b, a]
     if strategy == "knock_out":
         left, out = sorted(cols, key=lambda c: -relevance[c]), []
-        while left and len(out) < k:
+        while left and len(out) < most:
             best, *left = left
             out.append(best)
             left = [c for c in left if of(best, c) < corr_threshold]
@@ -318,9 +318,9 @@ def mrmr_engine(df: DataFrame, k: int, relevance: dict[str, float], strategy: st
     if strategy not in ("accum_corr", "weighted_accum_corr"):
         raise ValueError(f"unknown strategy {strategy}")
     weight = 1 if strategy == "weighted_accum_corr" else 0
-    out = [max(cols, key=lambda c: relevance[c])] if cols and k else []
+    out = [max(cols, key=lambda c: relevance[c])] if most else []
     total = dict.fromkeys(cols, 0.0)
-    for j in range(1, k):
+    for j in range(1, most):
         rest = [c for c in cols if c not in out]
         for c in rest:
             total[c] += (1 - weight * j / k) * of(c, out[-1])

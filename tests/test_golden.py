@@ -225,7 +225,7 @@ def test_text_functions(spark):
     assert one(w.select(text.snowball_stem("w").alias("s")), "s") == ["run", None, None, None]
     g = frame(spark, [(12, 18), (None, 4), (0, 5)], "a bigint, b bigint")
     assert values(g.select(numeric.gcd("a", "b").alias("g"), numeric.lcm("a", "b").alias("l"))) == [(6, 36), (None, None), (5, 0)]
-    z = frame(spark, [([True, False, False, True],), ([],), (None,)], "b array<boolean>")
+    z = frame(spark, [([True, False, False, True, True],), ([],), (None,)], "b array<boolean>")
     assert one(z.select(numeric.lempel_ziv_complexity("b").alias("n")), "n") == [3, 0, None]
 
 
