@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prepline.functions.safe import INF, NAN, fdiv, finite, is_invalid, safe_corr
 from prepline.functions.sqltext import name
 from prepline.operators.infer import category_counts, infer_discretes
 from prepline.operators.metrics import psi, psi_discrete
-from prepline.operators.quantiles import column_modes, column_quantiles, is_large
+from prepline.operators.quantiles import column_modes, column_quantiles
 from prepline.operators.schema import get_numeric_cols, get_string_cols, kinds
 from prepline.operators.strings import time_buckets
 
@@ -84,37 +86,43 @@ def corr_report(df: DataFrame, features: Sequence[str], targets: Sequence[str],
 
 
 def data_profile(df: DataFrame, percentiles: Sequence[float] = (0.25, 0.75), exclude: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
-    """One row per numeric, text and boolean column, from one aggregate.
+    """One row per numeric, text and boolean column.
 
     ``column, dtype, null_pct, min, max`` (as text), ``mean, std, median, skew, kurtosis`` (population) and
-    ``<q>-percentile``; text columns have null moments. NaN and infinities take part in min and max only.
-    Percentiles are exact (of a large frame from sorted counts, in a job of their own), or approximate with an
-    ``accuracy``.
+    ``<q>-percentile``; text columns have null moments. NaN and infinities take part in min and max only, decimals
+    count as doubles. Percentiles are exact, or approximate with an ``accuracy``.
+
+    Numbers are unpivoted and grouped by column, which keeps the aggregate in generated code however many columns
+    there are; only one row per column and task is shuffled. Text columns and percentiles, whose aggregates can't
+    be generated, are jobs of their own.
     """
     k = kinds(df)
     cols = [c for c in df.columns if k[c] in ("numeric", "string", "bool") and c not in set(exclude)]
+    numbers, texts = [c for c in cols if k[c] != "string"], [c for c in cols if k[c] == "string"]
+    types = {f.name: f.dataType for f in df.schema.fields}
     qs = [0.5, *percentiles]
-    large = accuracy is None and is_large(df)
-    found = column_quantiles(df, [c for c in cols if k[c] == "numeric"], qs) if large else {}
-    none = F.lit(None).cast("double")
-    aggs, cells = [], []
-    for i, c in enumerate(cols):
-        x = F.col(name(c))
-        own = {"null_pct": F.avg(x.isNull().cast("double")), "min": F.min(x).cast("string"), "max": F.max(x).cast("string")}
-        if k[c] == "string":
-            own |= dict.fromkeys(("mean", "std", "skew", "kurtosis"), none) | {"q": F.lit(None).cast("array<double>")}
-        else:
-            y = finite(x.cast("double"))
-            own |= {"mean": F.avg(y), "std": F.stddev_samp(y), "skew": F.skewness(y), "kurtosis": F.kurtosis(y)}
-            points = F.array(*map(F.lit, qs))
-            if c in found:
-                own["q"] = F.max(F.array(*map(F.lit, found[c] or [None] * len(qs))).cast("array<double>"))
-            else:
-                own["q"] = F.percentile(y, points) if accuracy is None else F.percentile_approx(y, points, accuracy)
-        aggs += [v.alias(f"{i}_{n}") for n, v in own.items() if not (k[c] == "string" and n in ("mean", "std", "skew", "kurtosis", "q"))]
-        at = lambda n, i=i, own=own: F.col(f"{i}_{n}").alias(n) if not (k[cols[i]] == "string" and n in ("mean", "std", "skew", "kurtosis", "q")) else own[n].alias(n)
-        cells.append(F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), *map(at, ("null_pct", "min", "max", "mean", "std", "skew", "kurtosis", "q"))))
-    long = df.agg(*aggs).select(F.inline(F.array(*cells)))
+    parts = []
+    fields = ["column", "dtype", "null_pct", "min", "max", "mean", "std", "skew", "kurtosis", "q"]
+    if numbers:
+        found = column_quantiles(df, numbers, qs, accuracy)
+        whole = {c: isinstance(types[c], (T.IntegralType, T.BooleanType)) for c in numbers}
+        cells = [F.struct(F.lit(i).alias("i"), F.col(name(c)).cast("double").alias("x"), F.when(F.lit(whole[c]), F.col(name(c)).cast("bigint")).alias("l")) for i, c in enumerate(numbers)]
+        y = finite("x")
+        aggs = {
+            "null_pct": F.avg(F.col("x").isNull().cast("double")), "a": F.min("x"), "b": F.max("x"), "la": F.min("l"), "lb": F.max("l"), "mean": F.avg(y), "std": F.stddev_samp(y),
+            "skew": F.skewness(y), "kurtosis": F.kurtosis(y),
+        }
+        long = df.select(F.inline(F.array(*cells))).groupBy("i").agg(*[v.alias(n) for n, v in aggs.items()])
+        # an empty frame has all columns too
+        known = df.sparkSession.createDataFrame([(i, c, types[c].simpleString(), found[c]) for i, c in enumerate(numbers)], "i int, column string, dtype string, q array<double>")
+        text = lambda x, l: F.when(F.col("dtype") == "boolean", (F.col(l) == 1).cast("string")).when(F.col("dtype") == "float", F.col(x).cast("float").cast("string")).otherwise(F.coalesce(F.col(l).cast("string"), F.col(x).cast("string")))
+        parts.append(known.join(long, "i", "left").select("column", "dtype", "null_pct", text("a", "la").alias("min"), text("b", "lb").alias("max"), "mean", "std", "skew", "kurtosis", "q"))
+    if texts:
+        wide = df.agg(*[a for i, c in enumerate(texts) for a in (F.avg(F.col(name(c)).isNull().cast("double")).alias(f"n{i}"), F.min(name(c)).alias(f"a{i}"), F.max(name(c)).alias(f"b{i}"))])
+        cells = [F.struct(F.lit(c).alias("column"), F.lit("string").alias("dtype"), F.col(f"n{i}").alias("null_pct"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max")) for i, c in enumerate(texts)]
+        none = F.lit(None).cast("double")
+        parts.append(wide.select(F.inline(F.array(*cells))).select("column", "dtype", "null_pct", "min", "max", *[none.alias(n) for n in ("mean", "std", "skew", "kurtosis")], F.lit(None).cast("array<double>").alias("q")))
+    long = functools.reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], ", ".join(f"{f} {'string' if f in ('column', 'dtype', 'min', 'max') else 'array<double>' if f == 'q' else 'double'}" for f in fields))
     return long.select("column", "dtype", "null_pct", "min", "max", "mean", "std", F.get("q", F.lit(0)).alias("median"), "skew", "kurtosis", *[F.get("q", F.lit(j + 1)).alias(f"{q * 100:.1f}-percentile") for j, q in enumerate(percentiles)])
 
 
