@@ -168,7 +168,7 @@ def over_time_report(df: DataFrame, time_col: str, cols: Sequence[str] | None =
     cols = [c for c in (cols or get_numeric_cols(df)) if c != time_col]
     make = {
         "null": lambda x: F.avg(x.isNull().cast("double")), "invalid": lambda x: F.avg(is_invalid(x).cast("double")), "max": F.max, "min": F.min, "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp,
-        "mode": lambda x: F.mode(x, True),
+        "mode": lambda x: F.mode(x + 0, True),  # makes -0.0 and 0.0 one value
     }
     wanted = [metrics] if isinstance(metrics, str) else list(metrics)
     aggs = [make[m](F.col(name(c))).alias(f"{c}_{m}{'%' if m in ('null', 'invalid') else ''}") for c in cols for m in wanted]
