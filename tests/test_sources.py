@@ -46,3 +46,15 @@ def test_coupons(spark):
     assert coverage_probability(spark, 50, 4, 4, 1, 1) == 1 and coverage_probability(spark, 50, 4, 1, 3, 1) == 0
     n = subsamples_needed(spark, 200, 6, 3, 1, threshold=0.9)
     assert coverage_probability(spark, 200, 6, 3, n, 1) >= 0.9 > coverage_probability(spark, 200, 6, 3, n - 1, 1)
+
+
+def test_api_and_namespaces(spark):
+    from prepline import api
+
+    for n in ("impute", "scale", "one_hot_encode", "data_profile", "roc_auc", "mrmr", "train_test_split", "infer_dates", "psi", "profile_loads", "fill_missing", "Pipeline"):
+        assert callable(getattr(api, n))
+    t = spark.createDataFrame([(1, True, 4), (2, True, 6), (3, False, 9)], "i int, b boolean, x int")
+    r = t.agg(api.num_ext("x").rms().alias("rms"), api.num_ext("b").ordered("i").alias("o")).select("rms", api.lempel_ziv_complexity("o").alias("n")).first()
+    assert r["rms"] == pytest.approx((133 / 3) ** 0.5) and r["n"] == 1 + 1
+    assert [x[0] for x in t.select(api.num_ext("x").gcd(6).alias("g")).collect()] == [2, 6, 3]
+    assert t.select(api.str_ext(F.lit("abc")).levenshtein_dist(F.lit("abd"))).first()[0] == 1
