@@ -191,7 +191,8 @@ def one_form(text: Column | str) -> Column:
 def unify_text(df: DataFrame, text_col: str = "text", form_col: str = "form") -> DataFrame:
     """``df`` with the common form of ``text_col`` in ``form_col``; a column of that name is replaced.
 
-    Texts are exploded to code points inside the Arrow batch, so nothing is shuffled.
+    Texts are exploded to code points inside the Arrow batch, so nothing is shuffled. Repeated rows stay repeated,
+    an empty table stays empty, texts may have any length.
     """
     return df.withColumn(form_col, one_form(F.col(f"`{text_col}`")))
 
@@ -199,18 +200,20 @@ def unify_text(df: DataFrame, text_col: str = "text", form_col: str = "form") ->
 def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id_a, doc_id_b``: documents whose texts differ but have the same form, the smaller id first.
 
-    Null and blank texts (nothing but spaces and line breaks in their form) form no pairs. Texts are compared by
-    SHA-256. Only forms with two or more different texts go on, and documents are joined through the pairs of
-    those texts, so copies of one text never meet each other, however many there are.
+    Null and blank texts (nothing but spaces and line breaks in their form) and null ids form no pairs; repeated
+    rows and ids give each pair once; texts may have any length; an empty table has no pairs; other columns are
+    ignored, whatever their names. Texts are compared by SHA-256. Only forms with two or more different texts go
+    on, and documents are joined through the pairs of those texts, so copies of one text never meet each other,
+    however many there are.
     """
     formed = unify_text(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     # the form is used in one projection only, else it would be made once for each use
     keys = formed.select("doc_id", F.when(F.col("form").rlike(r"\S"), F.unhex(F.sha2("form", 256))).alias("form_key"), F.unhex(F.sha2("text", 256)).alias("text_key"))
     keyed = cut(keys).where(F.col("form_key").isNotNull())
     ends = keyed.groupBy("form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("form_key")
-    mixed = keyed.join(ends, "form_key", "left_semi")
+    mixed = keyed.join(ends, "form_key", "left_semi").distinct()
     texts = mixed.select("form_key", "text_key").distinct()
     pairs = texts.alias("x").join(texts.alias("y"), "form_key").where("x.text_key <> y.text_key").select(F.col("x.text_key").alias("text_a"), F.col("y.text_key").alias("text_b"))
     a = mixed.select(F.col("doc_id").alias("doc_id_a"), F.col("text_key").alias("text_a"))
     b = mixed.select(F.col("doc_id").alias("doc_id_b"), F.col("text_key").alias("text_b"))
-    return a.join(pairs, "text_a").join(b, "text_b").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+    return a.join(pairs, "text_a").join(b, "text_b").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()

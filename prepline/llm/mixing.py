@@ -30,13 +30,16 @@ def order_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     """Every document with tokens at its place in a random order of its source, and the totals of the sources.
 
     Returns (doc_id, source_name, n_tokens, start_token) and (source_name, source_tokens). The random key of a
-    document is a hash of its id, and a source is cut into ranges of that key, so that a source that holds most
-    of the rows is spread over many tasks: only the sums of its ranges pass through one window.
+    document is a hash of its id (of documents without id a hash of their place), and a source is cut into ranges
+    of that key, so that a source that holds most of the rows is spread over many tasks: only the sums of its
+    ranges pass through one window.
     """
-    counted = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source_name"), token_count(F.col(f"`{text_col}`"), vocabulary).alias("n_tokens")).where("source_name is not null")
+    own = F.col(f"`{id_col}`")
+    key = F.xxhash64(F.lit(seed), own, F.when(own.isNull(), F.monotonically_increasing_id())).alias("key")
+    counted = docs.select(own.alias("doc_id"), key, F.col(f"`{source_col}`").alias("source_name"), token_count(F.col(f"`{text_col}`"), vocabulary).alias("n_tokens")).where("source_name is not null")
     sized = cut(counted).where("n_tokens > 0")  # filtered after it is written, else texts would be encoded twice
     bits = max(0, math.ceil(math.log2(max(1, sized.count()) / RANGE_ROWS)))
-    keyed = sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("range", F.shiftright("key", 63 - bits) if bits else F.lit(0).cast("bigint"))
+    keyed = sized.withColumn("range", F.shiftright("key", 63 - bits) if bits else F.lit(0).cast("bigint"))
     sums = keyed.groupBy("source_name", "range").agg(F.sum("n_tokens").alias("range_tokens"))
     by_source = Window.partitionBy("source_name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source_name", "range", F.coalesce(F.sum("range_tokens").over(by_source), F.lit(0)).alias("range_start"))
@@ -64,7 +67,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", sou
 
     Defined cases: null or negative weights count as 0, a null budget as 0, max_repeats under 1 as 0; repeated
     lines of a mix and source are one line with the sum of the weights and the largest max_repeats; a mix whose
-    weights add up to 0 has targets of 0; documents with null source or no tokens are in no mix.
+    weights add up to 0 has targets of 0; documents with null source or no tokens are in no mix. Every row of the
+    documents counts, also one with a repeated or null id; texts may have any length. Without documents every line
+    with a target is short; without targets the report is empty. Other columns are ignored, whatever their names.
     """
     placed, totals = order_sources(docs, id_col, source_col, text_col, vocabulary, seed)
     mix = Window.partitionBy("mix_id")

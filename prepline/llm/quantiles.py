@@ -29,8 +29,10 @@ def build_sketches(df: DataFrame, parts: Sequence[str], dimensions: Sequence[str
     """``*parts, dimension, key, field, n, sketch``: a sketch of each field per part, dimension and key.
 
     ``parts`` (such as a load or a day) can be joined later by ``merge_sketches``; ``key`` is the value of the
-    dimension as text, null for null. Only finite numbers above 0 count; groups without any have no row. Each
-    task sketches what it reads before the shuffle, so of a hot group only sketches of bounded size are moved.
+    dimension as text, null for null; a null part is a part of its own. Only finite numbers above 0 count; groups
+    without any have no row, an empty table has none; repeated rows all count; ties are values like others. Other
+    columns are ignored, whatever their names. Each task sketches what it reads before the shuffle, so of a hot
+    group only sketches of bounded size are moved.
     """
     keyed = df.select(
         *[F.col(f"`{p}`") for p in parts],

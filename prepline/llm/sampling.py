@@ -107,7 +107,9 @@ def sample_plans(df: DataFrame, plans: DataFrame, id_col: str = "id", part_col:
     An id with rows of several categories in a part counts as available in each but is drawn at most once, under
     the category with the fewest ids (of equal ones the smaller name). Null shares and sizes are 0, repeated
     lines of a plan one line with the sum of shares and the largest minimum and size; lines of parts without
-    rows have nothing available; null ids are no records. Ids of categories without a line are never drawn.
+    rows have nothing available, so without rows every line is short that requires any; null ids are no records;
+    repeated rows are one record. Ids of categories without a line are never drawn. Other columns are ignored,
+    whatever their names.
 
     Category moments are counted before the shuffle. Duels are held where the rows lie; only the at most one
     undecided id of each task and line is moved, so a part with a third of all rows is no task of its own.

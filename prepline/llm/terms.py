@@ -169,8 +169,9 @@ def count_terms(df: DataFrame, fields: Sequence[str], record: str) -> DataFrame:
     """``field_name, kind, item, occurrences, records`` of every value and every space-separated word of ``fields``.
 
     A record is a distinct value of ``record``; an item occurs in it if any of its rows holds it. Rows with a
-    null record add occurrences but no record. A word that stands twice in a value occurs twice. Null and blank
-    values are no items; an empty table has none.
+    null record add occurrences but no record. A word that stands twice in a value occurs twice, a repeated row
+    counts again. Null and blank values are no items; an empty table has none; values may have any length. Other
+    columns are ignored, whatever their names.
 
     Each row's items are first counted by record and item, before and after one shuffle, so neither a hot record
     nor a hot item meets in one task. Workers then count items in burst tries; the containers of all workers are

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from oracle import plain  # noqa: F401  (the folder of the tests is on the path)
+from pyspark.sql import functions as F
 
 from prepline.llm import forms
 from prepline.llm.bpe import DEFAULT_VOCABULARY, PATTERN, Encoder, PerfectHash, load_vocabulary
@@ -98,7 +98,9 @@ def test_one_form_keeps_and_joins(spark):
 def test_look_alike_pairs(spark):
     rows = [(1, "top page"), (2, "tοp page"), (3, "top page"), (4, "top page"), (5, None), (6, " "), (7, " "), (8, "other"), (9, "TOP page"), (10, "")]
     t = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' form", "1 form_key")
-    assert sorted(tuple(r) for r in look_alike_pairs(t).collect()) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
+    want = [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
+    assert sorted(tuple(r) for r in look_alike_pairs(t).collect()) == want
+    assert sorted(tuple(r) for r in look_alike_pairs(t.unionByName(t)).collect()) == want
     assert look_alike_pairs(t.limit(0)).count() == 0
 
 
@@ -131,6 +133,8 @@ def test_mix(spark):
         assert x["picked_tokens"] == sum(sizes[p["doc_id"]] * p["copies"] for p in picks if (p["mix_id"], p["source_name"]) == key)
     if tokens["tiny"] < 60:
         assert {p["copies"] for p in picks if p["mix_id"] == 6} <= {1, 2}
+    no_ids = mix_sources(docs.withColumn("doc_id", F.lit(None).cast("bigint")), targets).report.where("mix_id = 1 and source_name = 'hot'").first()
+    assert no_ids["source_tokens"] == tokens["hot"] and 0 <= 2000 - no_ids["picked_tokens"] < max(sizes.values())
     assert mix_sources(docs.limit(0), targets).picks.count() == 0
     assert mix_sources(docs, targets.limit(0)).report.count() == 0
 
