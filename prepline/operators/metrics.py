@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from prepline.functions.safe import fdiv, finite, flog
 from prepline.functions.sqltext import lit, name
 from prepline.operators.encode import check_binary_target, interval_sql
-from prepline.operators.quantiles import column_quantiles
+from prepline.operators.quantiles import column_quantiles, running
 from prepline.plans.steps import Step, lookup_step, recorded
 
 
@@ -73,10 +73,8 @@ def tp_fp_frame(df: DataFrame, actual: str, predicted: str, ratio: bool = True)
 
     Running sums are made inside ranges of thresholds, see ``running``, so no task sees all of them.
     """
-    from prepline.operators.reports import running
-
     counts = _pairs(df, actual, predicted).groupBy(F.col("p").alias("threshold")).agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.col("y").cast("bigint")).alias("pos"))
-    run = running(counts, "threshold", {"cum_cnt": "cnt", "cum_pos": "pos"})
+    run = running(counts, ["threshold"], {"cum_cnt": "cnt", "cum_pos": "pos"})
     total = run.agg(F.sum("cnt").alias("n"), F.sum("pos").alias("p")).first()
     n, p = total["n"] or 0, total["p"] or 0
     full = (
@@ -109,10 +107,8 @@ def precision_recall(df: DataFrame, actual: str, predicted: str, beta: float = 1
 
 def roc_auc_frame(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """``auc`` as one row: the share of pairs of a positive and a negative in order, ties as half."""
-    from prepline.operators.reports import running
-
     counts = _pairs(df, actual, predicted).groupBy("p").agg(F.sum((F.col("y") == 1).cast("bigint")).alias("pos"), F.sum((F.col("y") != 1).cast("bigint")).alias("neg"))
-    run = running(counts, "p", {"below": "neg"})
+    run = running(counts, ["p"], {"below": "neg"})
     return run.agg(fdiv(F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2)), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 from collections.abc import Iterator, Sequence
 from typing import Any, Protocol
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from prepline.functions.safe import finite
 from prepline.functions.sqltext import name
 from prepline.operators.metrics import log_loss_expr, roc_auc
-from prepline.operators.sample import train_test_split
+from prepline.operators.sample import row_numbers, train_test_split
 from prepline.plans.steps import Step, recorded
 from prepline.session import cut
 from prepline.sources import DataCube
@@ -153,8 +154,6 @@ def permutation_importance(df: DataFrame, target: str, params: dict | None = Non
 
     A column is shuffled by numbering the rows in two random orders and joining on the number.
     """
-    from prepline.operators.sample import row_numbers
-
     features = list(features or [c for c in df.columns if c != target])
     model = _fit(df, target, features, params)
     base = cut(row_numbers(df.select(*map(name, [target, *features])).withColumn("__o", F.rand(seed)), ["__o"], "__n"))
@@ -172,8 +171,6 @@ def permutation_importance(df: DataFrame, target: str, params: dict | None = Non
 
 def suggest_hyperparams(df: DataFrame, target: str, features: Sequence[str] | None = None, max_trials: int = 10, metric: str = "log_loss", train_frac: float = 0.75, seed: int = 42) -> tuple[dict, DataFrame]:
     """Random search of tree parameters on one split: (best parameters, table of trials)."""
-    import random
-
     rng = random.Random(seed)
     features = list(features or [c for c in df.columns if c != target])
     train, test = (cut(x) for x in train_test_split(df.select(*map(name, [target, *features])), train_frac, seed))

@@ -68,7 +68,8 @@ def profile_loads(df: DataFrame, by: str, numeric: Sequence[str], text: Sequence
     ``chi2`` against equal shares.
 
     NaN counts as null, infinities are values. Rows with null load form a load of their own; an empty table has
-    no rows; a load without values of a column has null extremes. Repeated rows all count.
+    no rows; a load without values of a column has null extremes. Repeated rows all count; texts may have any
+    length, the empty text is a value. Other columns are ignored, whatever their names.
     """
     counts = value_counts(df, by, numeric, text)
     n, x, w = F.col("n"), F.col("number"), F.col("words")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,19 +25,27 @@ def is_large(df: DataFrame) -> bool:
     return estimated_bytes(df) > SORTED_FROM
 
 
-def cumulative_counts(long: DataFrame) -> DataFrame:
-    """``feature, x, n, upto, total`` of rows feature, x: counts of values and their running sums per feature.
+def running(df: DataFrame, order_by: Sequence[str], sums: Mapping[str, str], within: Sequence[str] = ()) -> DataFrame:
+    """``df`` with running sums (new column: column) in an order, within groups, ties included.
 
-    Values are range-partitioned and summed inside each partition; only one row per feature and partition passes
-    through a window, so no task sees all values of a feature.
+    Rows are range-partitioned and summed inside each partition; only one row of sums per group and partition
+    passes through a window over partitions, so no task sees all rows of a group. The range-partitioned rows are
+    written once, as the sums and the rows must agree on the partitions.
     """
+    ranged = cut(df.repartitionByRange(*map(name, [*within, *order_by])).withColumn("__part", F.spark_partition_id()))
+    groups = [*within, "__part"]
+    parts = ranged.groupBy(*groups).agg(*[F.sum(c).alias(f"__t_{k}") for k, c in sums.items()])
+    before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*groups, *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__s_{k}") for k in sums])
+    inside = Window.partitionBy(*groups).orderBy(*map(name, order_by))
+    summed = ranged.select("*", *[F.sum(c).over(inside).alias(f"__i_{k}") for k, c in sums.items()]).join(starts, groups)
+    return summed.select(*map(name, df.columns), *[(F.col(f"__i_{k}") + F.col(f"__s_{k}")).alias(k) for k in sums])
+
+
+def cumulative_counts(long: DataFrame) -> DataFrame:
+    """``feature, x, n, upto`` of rows feature, x: counts of values and their running sums per feature."""
     counts = long.where("x is not null").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
-    ranged = cut(counts.repartitionByRange("feature", "x").withColumn("part", F.spark_partition_id()))
-    parts = ranged.groupBy("feature", "part").agg(F.sum("n").alias("pn"))
-    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("feature", "part", F.coalesce(F.sum("pn").over(before), F.lit(0)).alias("s"), F.sum("pn").over(Window.partitionBy("feature")).alias("total"))
-    inside = Window.partitionBy("feature", "part").orderBy("x")
-    return ranged.withColumn("c", F.sum("n").over(inside)).join(starts, ["feature", "part"]).select("feature", "x", "n", (F.col("c") + F.col("s")).alias("upto"), "total")
+    return running(counts, ["x"], {"upto": "n"}, ["feature"])
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], shares: Sequence[float], accuracy: int | None = None) -> dict[str, list[float] | None]:
@@ -60,6 +68,7 @@ def sorted_quantiles(df: DataFrame, cols: Sequence[str], shares: Sequence[float]
     """``column_quantiles`` by cumulative counts: two values per quantile come to the driver."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), finite(name(c)).alias("x")) for c in cols])))
     at = cumulative_counts(long)
+    at = at.join(at.groupBy("feature").agg(F.max("upto").alias("total")), "feature")
     place = lambda s: F.lit(float(s)) * (F.col("total") - 1)
     holds = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)
     aggs = [F.max("total").alias("total")]

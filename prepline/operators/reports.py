@@ -13,7 +13,7 @@ from prepline.functions.safe import INF, NAN, fdiv, finite, is_invalid, safe_cor
 from prepline.functions.sqltext import name
 from prepline.operators.infer import category_counts, infer_discretes
 from prepline.operators.metrics import psi, psi_discrete
-from prepline.operators.quantiles import column_modes, column_quantiles
+from prepline.operators.quantiles import column_modes, column_quantiles, running
 from prepline.operators.schema import get_numeric_cols, get_string_cols, kinds
 from prepline.operators.strings import time_buckets
 
@@ -49,29 +49,11 @@ def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     for i, c in enumerate(cols):
         counts = df.where(finite(name(c)).isNotNull()).groupBy(finite(name(c)).alias(f"v{i}")).agg(F.count(F.lit(1)).alias("n"))
-        ranked = running(counts, f"v{i}", {"below": "n"}).select(f"v{i}", (F.col("below") - F.col("n") + (F.col("n") + 1) / 2).alias(f"r{i}"))
+        ranked = running(counts, [f"v{i}"], {"below": "n"}).select(f"v{i}", (F.col("below") - F.col("n") + (F.col("n") + 1) / 2).alias(f"r{i}"))
         df = df.join(ranked, finite(name(c)) == F.col(f"v{i}"), "left").drop(f"v{i}")
     return df
 
 
-def running(df: DataFrame, by: str, sums: Mapping[str, str]) -> DataFrame:
-    """``df`` with running sums (new column: column) in the order of ``by``, without moving all rows to one task.
-
-    Rows are range-partitioned and summed inside each partition; only one row of sums per partition passes
-    through a single window.
-    """
-    ranged = df.repartitionByRange(F.col(name(by))).withColumn("__part", F.spark_partition_id())
-    from prepline.session import cut
-
-    ranged = cut(ranged)
-    parts = ranged.groupBy("__part").agg(*[F.sum(c).alias(f"__t_{k}") for k, c in sums.items()])
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("__part", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__s_{k}") for k in sums])
-    inside = Window.partitionBy("__part").orderBy(F.col(name(by)))
-    out = ranged.select("*", *[F.sum(c).over(inside.rangeBetween(Window.unboundedPreceding, 0)).alias(f"__i_{k}") for k, c in sums.items()]).join(starts, "__part")
-    return out.select(*[name(c) for c in df.columns], *[(F.col(f"__i_{k}") + F.col(f"__s_{k}")).alias(k) for k in sums])
-
-
 def corr_report(df: DataFrame, features: Sequence[str], targets: Sequence[str], method: str = "pearson") -> DataFrame:
     """``features`` and one column of correlations per target; all pairs in one aggregate."""
     cols = list(dict.fromkeys([*features, *targets]))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepline.functions.safe import fdiv, finite, safe_corr
@@ -15,9 +15,8 @@ from prepline.functions.special import digamma, f_survival, ks_p_value
 from prepline.functions.sqltext import name
 from prepline.operators.encode import _need_binary, woe_table
 from prepline.operators.infer import correlation_pairs, infer_conti
-from prepline.operators.quantiles import cumulative_counts
+from prepline.operators.quantiles import cumulative_counts, running
 from prepline.operators.schema import get_complement, get_numeric_cols, get_string_cols
-from prepline.session import cut
 
 
 def _numeric(df: DataFrame, target: str, cols: Sequence[str] | None) -> list[str]:
@@ -192,15 +191,10 @@ def _ks_table(long: DataFrame) -> DataFrame:
     Counts of distinct values are summed up over ranges of values of all features together.
     """
     counts = long.where("x is not null").groupBy("feature", "x").agg(F.sum("side").alias("a"), F.sum(1 - F.col("side")).alias("b"))
-    totals = counts.groupBy("feature").agg(F.sum("a").alias("n1"), F.sum("b").alias("n0"))
-    ranged = cut(counts.repartitionByRange("feature", "x").withColumn("part", F.spark_partition_id()))
-    parts = ranged.groupBy("feature", "part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
-    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("feature", "part", F.coalesce(F.sum("pa").over(before), F.lit(0)).alias("sa"), F.coalesce(F.sum("pb").over(before), F.lit(0)).alias("sb"))
-    inside = Window.partitionBy("feature", "part").orderBy("x")
-    cum = ranged.select("feature", "part", F.sum("a").over(inside).alias("ca"), F.sum("b").over(inside).alias("cb")).join(starts, ["feature", "part"]).join(totals, "feature")
-    gap = F.abs(fdiv(F.col("ca") + F.col("sa"), F.col("n1")) - fdiv(F.col("cb") + F.col("sb"), F.col("n0")))
-    return cum.groupBy("feature").agg(F.max(gap).alias("ks"), F.max("n1").alias("n1"), F.max("n0").alias("n0"))
+    cum = running(counts, ["x"], {"ca": "a", "cb": "b"}, ["feature"])
+    totals = cum.groupBy("feature").agg(F.max("ca").alias("n1"), F.max("cb").alias("n0"))
+    gap = F.abs(fdiv(F.col("ca"), F.col("n1")) - fdiv(F.col("cb"), F.col("n0")))
+    return cum.join(totals, "feature").groupBy("feature").agg(F.max(gap).alias("ks"), F.max("n1").alias("n1"), F.max("n0").alias("n0"))
 
 
 def _with_p(table: DataFrame) -> DataFrame:
@@ -247,7 +241,8 @@ def _one_sample(df: DataFrame, exprs: dict[str, Column], which: str) -> DataFram
     if which not in _CDF:
         raise ValueError(f"unknown distribution {which}; known: {', '.join(_CDF)}")
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), x.alias("x")) for c, x in exprs.items()])
-    cum = cumulative_counts(df.select(F.inline(cells))).withColumnsRenamed({"upto": "c", "total": "all"})
+    cum = cumulative_counts(df.select(F.inline(cells))).withColumnRenamed("upto", "c")
+    cum = cum.join(cum.groupBy("feature").agg(F.max("c").alias("all")), "feature")
     f = _CDF[which](F.col("x"))
     ks = F.greatest(F.col("c") / F.col("all") - f, f - (F.col("c") - F.col("n")) / F.col("all"))
     rows = [(r["feature"], r["ks"], ks_p_value(r["ks"], r["n"])) for r in cum.groupBy("feature").agg(F.max(ks).alias("ks"), F.max("all").alias("n")).collect()]

@@ -333,7 +333,7 @@ def test_model_step(spark, tmp_path):
 
 def test_running_sums_and_row_numbers(spark):
     t = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"), F.lit(1).alias("n"))
-    out = reports.running(t, "v", {"c": "n"})
+    out = reports.running(t, ["v"], {"c": "n"})
     assert out.where("c <> v + 1").count() == 0
     assert sample.row_numbers(t, ["v"]).where("row_nr <> v + 1").count() == 0
 
