@@ -49,7 +49,7 @@ def cte(which: str) -> str:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, as sums depend on their order in the last digits; -0.0 is 0.0."""
-    return df.select(*[(F.round(F.col(name(f.name)), digits) + 0.0).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(name(f.name)) for f in df.schema.fields])
+    return df.select(*[(F.round(F.col(name(f.name)).cast("double"), digits) + 0.0).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(name(f.name)) for f in df.schema.fields])
 
 
 def names(spark: SparkSession, found: Sequence[str]) -> DataFrame:

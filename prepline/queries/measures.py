@@ -46,6 +46,6 @@ _OLD, _NEW = "l_linenumber <= 3", "l_linenumber > 3"
 on("line", "psi_discrete", lambda t: M.psi_discrete_table(t.where(_OLD), "flag", t.where(_NEW), "flag"), f"+a as (select flag v, count(*) n from t where {_OLD} group by 1), b as (select flag v, count(*) n from t where {_NEW} group by 1), s as (select coalesce(a.v, b.v) v, greatest(coalesce(a.n, 0) / (select sum(n) from a), 1e-5) e, greatest(coalesce(b.n, 0) / (select sum(n) from b), 1e-5) c from a full join b on a.v is not distinct from b.v) select v \"value\", round(e, 8) \"expected%\", round(c, 8) \"actual%\", round((e - c) * ln(e / c), 8) psi from s", digits=8)
 on("line", "psi", lambda t: M.psi_table(t.where(_OLD), "price", t.where(_NEW), "price", 10).agg(F.sum("psi").alias("psi")), f"+q as (select quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) c from t where {_OLD}), k as (select l_linenumber, (select count(*) from (select unnest(c) x from q) where x < price) b from t), g as (select b, count(*) filter (where {_OLD}) / (select count(*) from t where {_OLD}) e, count(*) filter (where {_NEW}) / (select count(*) from t where {_NEW}) a from k group by 1) select round(sum((greatest(e, 1e-5) - greatest(a, 1e-5)) * ln(greatest(e, 1e-5) / greatest(a, 1e-5))), 6) psi from g")
 on("line", "jaccard_similarity", lambda t: t.sparkSession.createDataFrame([(M.jaccard_similarity(t.where("flag = 'R'"), "l_partkey", t.where("flag = 'A'"), "l_partkey"),)], "value double"), "select round((select count(*) from (select l_partkey from t where flag = 'R' intersect select l_partkey from t where flag = 'A')) / (select count(distinct l_partkey) from t where flag in ('R', 'A')), 6) as \"value\"")
-on("emb", "cosine_similarity", lambda t: t.select("vec_id", M.cosine_similarity("embedding", F.transform("embedding", lambda x, i: x * (i % 3))).alias("s"), M.cosine_dist("embedding", "embedding").alias("d")), "select vec_id, round(list_cosine_similarity(embedding::double[], list_transform(embedding::double[], lambda x, i: x * ((i - 1) % 3))), 6) s, 0.0 d from t")
+on("emb", "cosine_similarity", lambda t: t.select("vec_id", M.cosine_similarity("embedding", F.transform("embedding", lambda x, i: x * (i % 3))).alias("s"), M.cosine_dist("embedding", "embedding").alias("d")), "select vec_id, round(list_cosine_similarity(embedding::double[], list_transform(embedding::double[], lambda x, i: x * ((i - 1) % 3))), 6) s, 0.0::double d from t")
 on("emb", "cosine_matrix", lambda t: M.cosine_matrix(t.where("vec_id % 100 = 0"), t, "vec_id", "embedding"), "select a.vec_id id_a, b.vec_id id_b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) similarity from t a, t b where a.vec_id % 100 = 0")
 on("parts", "df_jaccard_similarity", lambda t: M.df_jaccard_similarity(t.select("p_partkey", F.split("p_name", " ").alias("a"), F.split("p_type", " ").alias("b")), "a", "b").select("p_partkey", "a_b_jaccard"), "+g as (select p_partkey, string_split(p_name, ' ') a, string_split(p_type, ' ') b from t) select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) a_b_jaccard from g")

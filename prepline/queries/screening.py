@@ -85,7 +85,7 @@ on("line", "infer_highly_correlated", lambda t: I.infer_highly_correlated(t.sele
 
 # reports
 on("line", "check_target_cardinality", lambda t: R.check_target_cardinality(t, "target"), "select target, count(*) cnt, round(count(*) / (select count(*) from t), 6) pct from t group by 1")
-on("line", "range_counts", lambda t: R.range_counts(t, {"qty": [(1, 20), (23, 45)], "disc": [(0.02, 0.05)]}), "select 'qty' \"column\", 1.0 as lower, 20.0 as upper, count(*) filter (where qty between 1 and 20) cnt from t union all select 'qty', 23.0, 45.0, count(*) filter (where qty between 23 and 45) from t union all select 'disc', 0.02, 0.05, count(*) filter (where disc between 0.02 and 0.05) from t")
+on("line", "range_counts", lambda t: R.range_counts(t, {"qty": [(1, 20), (23, 45)], "disc": [(0.02, 0.05)]}), "select 'qty' \"column\", 1.0::double as lower, 20.0::double as upper, count(*) filter (where qty between 1 and 20) cnt from t union all select 'qty', 23.0::double, 45.0::double, count(*) filter (where qty between 23 and 45) from t union all select 'disc', 0.02::double, 0.05::double, count(*) filter (where disc between 0.02 and 0.05) from t")
 on("line", "corr_report", lambda t: R.corr_report(t, ["qty", "disc", "tax"], ["price", "target"]), " union all ".join(f"select '{c}' features, round(corr({c}, price), 6) price, round(corr({c}, target), 6) target from t" for c in ("qty", "disc", "tax")))
 on("line", "corr_report_spearman", lambda t: R.corr_report(t, ["qty", "disc"], ["price"], "spearman"), "+r as (select qty, disc, price, rank() over (partition by qty is null order by qty) + (count(*) over (partition by qty) - 1) / 2.0 rq, rank() over (order by disc) + (count(*) over (partition by disc) - 1) / 2.0 rd, rank() over (order by price) + (count(*) over (partition by price) - 1) / 2.0 rp from t) select 'qty' features, round(corr(rq, rp), 6) price from r where qty is not null union all select 'disc', round(corr(rd, rp), 6) from r")
 
