@@ -60,6 +60,16 @@ def test_encode_corpus(spark, public):
     assert t.select(token_count("text").alias("n")).agg({"n": "sum"}).first()[0] == sum(len(r["ids"]) for r in out)
 
 
+def test_ids_are_those_of_the_other_library(encoder):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    for text in TEXTS:
+        assert np.frombuffer(encoder.encode(text), "<i4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_very_long_text(encoder, public):
     text = "lorem ipsum dolor " * 100_000
     assert encoder.count(text) == len(public.encode_ordinary(text))
