@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from prepline.operators.encode import _need_binary, woe_table
 from prepline.operators.infer import correlation_pairs, infer_conti
 from prepline.operators.quantiles import cumulative_counts, running
 from prepline.operators.schema import get_complement, get_numeric_cols, get_string_cols
+from prepline.session import cut
 
 
 def _numeric(df: DataFrame, target: str, cols: Sequence[str] | None) -> list[str]:
@@ -108,46 +110,45 @@ def _nearer(x: np.ndarray, here: np.ndarray, r: np.ndarray) -> np.ndarray:
 def mutual_info(df: DataFrame, target: str, conti_cols: Sequence[str] | None = None, n_neighbors: int = 3, seed: int = 42, block_rows: int = 200_000) -> DataFrame:
     """``feature, estimated_mi``: mutual information of continuous columns with a discrete target by nearest neighbours.
 
-    For each value: radius to its k-th neighbour in its own class, number of values of any class within it. Each
-    feature is sorted by ranges of its values; blocks of about ``block_rows`` neighbouring values are worked off
-    together, each with a margin of its neighbours on either side, so no feature is one task. Neighbours beyond
-    the margin (``block_rows`` values away at least) don't count. A tiny noise by hash breaks ties; rows with a
-    null in either column take no part; classes of at most k rows raise.
+    For each value: radius to its k-th neighbour in its own class, number of values of any class within it. The
+    values of all features are range-partitioned into blocks of about ``block_rows``; a block is worked off with
+    the two beside it as margin, so no feature is one task. Neighbours beyond the margin don't count. A tiny noise
+    breaks ties; rows with a null in either column take no part; classes of at most k rows raise.
     """
     cols = list(conti_cols) if conti_cols else infer_conti(df, exclude=[target])
     k = n_neighbors
     long = _long(df, target, cols).where("t is not null and x is not null")
-    sizes = {(r["feature"], r["t"]): r["n"] for r in long.groupBy("feature", "t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = long.groupBy("feature", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s")).collect()
+    sizes = {(r["feature"], r["t"]): r["n"] for r in classes}
     if any(n <= k for n in sizes.values()):
         raise ValueError(f"a class has no more than {k} rows")
-    means = long.groupBy("feature").agg(F.greatest(F.abs(F.avg("x")), F.lit(1.0)).alias("m"), F.count(F.lit(1)).alias("n"))
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "feature", "t", "x", F.monotonically_increasing_id()), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    noisy = long.join(means, "feature").select("feature", "t", "n", (F.col("x") + 1e-12 * F.col("m") * (uniform - 0.5) * 4).alias("x"))
-    bounds = noisy.groupBy("feature").agg(F.max("n").alias("n"), F.percentile_approx("x", F.array(*[F.lit(i / 256) for i in range(1, 256)]), 10_000).alias("cuts"))
-    place = bounds.select("feature", "n", "cuts", F.greatest(F.lit(1), F.least(F.lit(256), F.ceil(F.col("n") / block_rows))).cast("int").alias("blocks"))
-    place = place.select("feature", F.when(F.col("blocks") > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1))), lambda i: F.get("cuts", (i * 256 / F.col("blocks")).cast("int") - 1)))).otherwise(F.array().cast("array<double>")).alias("cuts"))
-    blocked = noisy.join(place, "feature").withColumn("block", F.size(F.filter("cuts", lambda c: c < F.col("x"))))
-    # each value belongs to its own block and, as margin, to the blocks beside it
-    spread = blocked.select("feature", "t", "n", "x", F.col("block").alias("own"), F.explode(F.sequence(F.greatest(F.col("block") - 1, F.lit(0)), F.least(F.col("block") + 1, F.size("cuts")))).alias("block"))
-    spread = spread.withColumn("t", F.col("t").cast("string"))
+    noise = F.lit(0.0)
+    for c in cols:
+        own = [r for r in classes if r["feature"] == c]
+        mean = abs(sum(r["s"] for r in own) / max(sum(r["n"] for r in own), 1))
+        noise = F.when(F.col("feature") == c, F.lit(4e-12 * max(mean, 1.0))).otherwise(noise)
+    noisy = long.select("feature", F.col("t").cast("string").alias("t"), (F.col("x") + noise * (F.rand(seed) - 0.5)).alias("x"))
+    n_blocks = max(1, math.ceil(sum(sizes.values()) / block_rows))
+    ranged = cut(noisy.repartitionByRange(n_blocks, "feature", "x").withColumn("own", F.spark_partition_id()))
+    spread = ranged.withColumn("block", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)))
 
     def score(group: pa.Table) -> pa.Table:
-        group = group.sort_by("x")
-        x, own, block = group["x"].to_numpy(), group["own"].to_numpy(), group["block"][0].as_py()
-        label = group["t"].combine_chunks().dictionary_encode()
-        codes, names = label.indices.to_numpy(), label.dictionary.to_pylist()
-        total = 0.0
-        for c in range(len(names)):
-            at = np.flatnonzero(codes == c)
-            mine = own[at] == block
-            if not mine.any():
-                continue
-            r = _radii(x[at], k)[mine] if len(at) > k else np.full(int(mine.sum()), np.inf)
-            m = _nearer(x, x[at][mine], r)
-            total += float(np.sum(digamma(np.maximum(m, 1))))
-        return pa.table({"feature": group["feature"].slice(0, 1).combine_chunks(), "s": pa.array([total])})
-
-    sums = spread.groupBy("feature", "block").applyInArrow(score, "feature string, s double").groupBy("feature").agg(F.sum("s").alias("s"))
+        block, sums = group["block"][0].as_py(), {}
+        group = group.sort_by([("feature", "ascending"), ("x", "ascending")])
+        for f in group["feature"].unique().to_pylist() if (group["own"].to_numpy() == block).any() else []:
+            part = group.filter(pc.equal(group["feature"], f))
+            x, own = part["x"].to_numpy(), part["own"].to_numpy()
+            label = part["t"].combine_chunks().dictionary_encode()
+            codes = label.indices.to_numpy()
+            for c in range(len(label.dictionary)):
+                at = np.flatnonzero(codes == c)
+                mine = own[at] == block
+                if mine.any():
+                    r = _radii(x[at], k)[mine] if len(at) > k else np.full(int(mine.sum()), np.inf)
+                    sums[f] = sums.get(f, 0.0) + float(np.sum(digamma(np.maximum(_nearer(x, x[at][mine], r), 1))))
+        return pa.table({"feature": pa.array(list(sums), pa.string()), "s": pa.array(list(sums.values()), pa.float64())})
+
+    sums = spread.groupBy("block").applyInArrow(score, "feature string, s double").groupBy("feature").agg(F.sum("s").alias("s"))
     found = {r["feature"]: r["s"] for r in sums.collect()}
     rows = []
     for c in cols:

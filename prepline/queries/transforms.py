@@ -94,7 +94,7 @@ on("parts", "combine_str_cols", lambda t: T.combine_str_cols(t, ["p_brand", "p_t
 on("parts", "levenshtein_dist", lambda t: t.select("p_partkey", X.levenshtein_dist("p_name", "p_type").alias("d")), "select p_partkey, levenshtein(p_name, p_type)::int d from t")
 on("parts", "hamming_dist", lambda t: t.select("p_partkey", X.hamming_bits("p_brand", F.lit("Brand#21")).alias("bits"), X.hamming_chars("p_brand", F.lit("Brand#21")).alias("chars")), "select p_partkey, case when strlen(p_brand) = 8 then list_sum(list_transform(range(1, 9), lambda i: bit_count(xor(ascii(substring(p_brand, i, 1)), ascii(substring('Brand#21', i, 1))))))::int end bits, case when strlen(p_brand) = 8 then hamming(p_brand, 'Brand#21')::int end chars from t")
 on("parts", "str_jaccard", lambda t: t.select("p_partkey", X.str_jaccard("p_name", "p_type").alias("j")), "+g as (select p_partkey, list_distinct(list_transform(range(1, length(p_name)), lambda i: substring(p_name, i, 2))) a, list_distinct(list_transform(range(1, length(p_type)), lambda i: substring(p_type, i, 2))) b from t) select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) j from g")
-on("docs", "snowball_stem", lambda t: t.where("lang = 'en'").select(F.explode(F.split(F.lower("text"), "[^a-z']+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("stem", X.snowball_stem("word")))
+on("docs", "snowball_stem", lambda t: t.select(F.explode(F.split(F.lower("text"), "[^a-z']+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("stem", X.snowball_stem("word")))
 
 # json, lists, dates
 on("ev", "extract_from_json", lambda t: T.extract_from_json(t, "props", ["k", "none"], ["int", "string"]).select("event_id", "`props.k`", "`props.none`"), "select event_id, (props->>'$.k')::int \"props.k\", null::varchar \"props.none\" from t")
