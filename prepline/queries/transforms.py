@@ -28,7 +28,7 @@ on("line", "missing_indicator", lambda t: M.missing_indicator(t, ["qty", "tax",
 on("ads", "missing_indicator_nan", lambda t: M.missing_indicator(t, ["area_income"], include_nan=True).select("rec_id", "area_income_missing"), "select rec_id, (area_income is null or not isfinite(area_income))::tinyint area_income_missing from t")
 
 # scaling
-on("line", "scale", lambda t: C.scale(t, ["qty", "price"]).select(*KEYS, "qty", "price"), f"select {K}, round((qty - (select avg(qty) from t)) / (select stddev_pop(qty) from t), 6) qty, round((price - (select avg(price) from t)) / (select stddev_pop(price) from t), 6) price from t")
+on("line", "scale", lambda t: C.scale(t, ["qty", "price"]).select(*KEYS, "qty", "price"), f"select {K}, round((qty - (select avg(qty) from t)) / (select stddev_pop(qty) from t), 6) + 0.0 qty, round((price - (select avg(price) from t)) / (select stddev_pop(price) from t), 6) + 0.0 price from t")
 on("line", "scale_min_max", lambda t: C.scale(t, ["qty"], "min_max").select(*KEYS, "qty"), f"select {K}, round((qty - (select min(qty) from t)) / (select max(qty) - min(qty) from t), 6) qty from t")
 on("line", "scale_robust", lambda t: C.scale(t, ["price"], "robust").select(*KEYS, "price"), f"select {K}, round((price - (select median(price) from t)) / (select quantile_cont(price, 0.75) - quantile_cont(price, 0.25) from t), 6) price from t")
 on("cust", "scale_max_abs", lambda t: C.scale(t, ["bal"], "abs_max").select("c_custkey", "bal"), "select c_custkey, round(bal / (select max(abs(bal)) from t), 6) bal from t")
