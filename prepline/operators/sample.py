@@ -7,6 +7,8 @@ executor repeats the same ones.
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 import random
 from collections.abc import Iterator, Sequence
 
@@ -19,6 +21,8 @@ from prepline.session import cut
 
 #: Draws are hashes modulo this.
 GRAIN = 1 << 30
+#: Distance of the seeds of repeated draws.
+AGAIN = 1_000_003
 
 
 def draw(keys: Sequence[str], seed: int) -> Column:
@@ -55,13 +59,20 @@ def deduplicate(df: DataFrame, subset: Sequence[str], keep: str = "any", order_b
 def simple_upsample(df: DataFrame, subgroup: str, count: int, epsilon: float = 0.01, include: Sequence[str] | None = None, exclude: Sequence[str] = (), positive: bool = False, seed: int = 42) -> DataFrame:
     """Appends ``count`` rows drawn with replacement from a subgroup (condition in SQL), with noise on its float columns.
 
-    Noise is uniform in (-epsilon, epsilon), or (0, epsilon) if positive.
+    Rows are drawn independently, some more than wanted; those with the least random numbers are taken, wherever
+    they stand. Noise is uniform in (-epsilon, epsilon), or (0, epsilon) if positive.
     """
     own = df.where(subgroup)
     n = own.count()
     if n == 0:
         return df
-    drawn = own.sample(True, min(1.0, count / n) * 1.5 + 10 / n if count < n else count / n * 1.5 + 10 / n, seed).limit(count)
+    # mean ``count``, ten deviations above: too few are drawn once in e^50, and then others are drawn
+    share = (count + 10 * math.sqrt(count) + 50) / n
+    for again in itertools.count():
+        drawn = row_numbers(own.sample(True, share, seed + again * AGAIN).withColumn("__u", F.rand(seed - 1)), ["__u"], "__i")
+        if drawn.count() >= count:
+            break
+    drawn = drawn.where(F.col("__i") <= count).select(*map(name, df.columns))
     floats = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("float", "double")}
     cols = [c for c in (include or floats) if c in floats and c not in set(exclude)]
     low = 0.0 if positive else -epsilon
