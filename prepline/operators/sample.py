@@ -34,6 +34,12 @@ def _draw(df: DataFrame, keys: Sequence[str] | None, seed: int) -> Column:
     return draw(keys, seed) if keys else F.rand(seed)
 
 
+def _contents(df: DataFrame, keys: Sequence[str] | None, seed: int) -> list[Column]:
+    """Orders rows of equal keys by chance and alike in every run: a hash of all columns that have one."""
+    cols = [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return [F.xxhash64(F.lit(seed), *map(name, cols))] if keys and cols else []
+
+
 def lazy_sample(df: DataFrame, sample_frac: float = 0.75, sample_amt: int | None = None, seed: int = 42, keys: Sequence[str] | None = None) -> DataFrame:
     """About a fraction of the rows, or exactly an amount."""
     if sample_amt is not None:
@@ -89,16 +95,23 @@ def stratified_downsample(df: DataFrame, group: Sequence[str], keep: int | float
     """Exactly ``keep`` rows of each group, or a fraction of it but at least ``min_keep``.
 
     Only rows whose draw is below a bound that leaves enough of each group are ranked, so a hot group's ranking
-    sees about as many rows as it keeps.
+    sees about as many rows as it keeps. Rows of equal keys share a draw, and hashes of their contents order them;
+    give no keys for draws by row.
     """
     counts = df.groupBy(*map(name, group)).agg(F.count(F.lit(1)).alias("__n"))
     wanted = F.lit(float(keep)) if isinstance(keep, int) else F.greatest(F.col("__n") * F.lit(float(keep)), F.lit(float(min_keep)))
     sized = counts.select(*[F.col(name(g)).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__n"), wanted.alias("__k"))
     on = functools.reduce(lambda a, b: a & b, [F.col(name(g)).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)])
-    drawn = df.withColumn("__u", _draw(df, keys, seed)).join(sized, on)
-    # mean k, ten deviations above: a group is left with fewer than k of its draws once in e^50
-    near = drawn.where(F.col("__u") * F.col("__n") <= F.col("__k") + 10 * F.sqrt("__k") + 50)
-    w = Window.partitionBy(*map(name, group)).orderBy("__u", *map(name, keys or ()))
+    # mean k, ten deviations above: independent draws leave a group fewer than k rows once in e^50
+    sized = sized.withColumn("__b", F.col("__k") + 10 * F.sqrt("__k") + 50)
+    drawn, passes = df.withColumn("__u", _draw(df, keys, seed)), F.col("__u") * F.col("__n") <= F.col("__b")
+    if keys:  # rows of equal keys share a draw: all rows of a group that the bound leaves too few are ranked
+        of = [f"__g{i}" for i in range(len(group))]
+        left = drawn.join(sized.where("__n > __b"), on).where(passes).groupBy(*of).agg(F.count(F.lit(1)).alias("__p")).select(*[F.col(g).alias(f"_{g}") for g in of], "__p")
+        enough = F.col("__p") >= F.ceil("__k")
+        sized = sized.join(left, functools.reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in of]), "left").withColumn("__b", F.when(enough, F.col("__b")).otherwise(F.col("__n")))
+    near = drawn.join(sized, on).where(passes)
+    w = Window.partitionBy(*map(name, group)).orderBy("__u", *map(name, keys or ()), *_contents(df, keys, seed))
     whole = F.floor("__k") == F.col("__k")
     rank = F.row_number().over(w)
     return near.withColumn("__r", rank).where(F.when(whole, F.col("__r") <= F.col("__k")).otherwise(F.col("__r") < F.col("__k") + 1)).select(*map(name, df.columns))
