@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -10,16 +12,19 @@ from pyspark.sql import functions as F
 
 #: Least share of a bin in the population stability index.
 LEAST_SHARE = 0.0001
+#: Most values of a text column that are categories of their own in its baseline; others count as one.
+MOST_CATEGORIES = 20_000
 
 
 @dataclass(frozen=True)
 class Baseline:
-    """What later loads of a numeric or text column are compared with; numeric: range and inner breaks of bins."""
+    """What later loads of a numeric or text column are compared with; numeric: range and inner breaks of bins; text: shares of values."""
 
     null_share: float
     low: float | None = None
     high: float | None = None
     breaks: tuple[float, ...] = ()
+    shares: tuple[tuple[str, float], ...] = ()
 
 
 def _number(c: str) -> Column:
@@ -29,7 +34,8 @@ def _number(c: str) -> Column:
 
 
 def fit_baseline(accepted: DataFrame, numeric: Sequence[str], text: Sequence[str] = (), bins: int = 10) -> dict[str, Baseline]:
-    """One aggregate over the accepted load; only a few numbers per column come to the driver.
+    """One aggregate over the accepted load, and one per text column; only a few numbers per numeric column come to
+    the driver, and the shares of the most frequent ``MOST_CATEGORIES`` values of a text column.
 
     Breaks are the inner quantiles of the non-null values by linear interpolation. A column without values has
     no range and no breaks; an empty table has null shares of 0.
@@ -43,7 +49,11 @@ def fit_baseline(accepted: DataFrame, numeric: Sequence[str], text: Sequence[str
     r = accepted.agg(*aggs).first()
     n = max(r["n"], 1)
     found = {c: Baseline((r["n"] - r[f"c{i}"]) / n, r[f"l{i}"], r[f"h{i}"], tuple(r[f"q{i}"] or ())) for i, c in enumerate(numeric)}
-    return found | {c: Baseline((r["n"] - r[f"t{i}"]) / n) for i, c in enumerate(text)}
+    for i, c in enumerate(text):
+        words = accepted.select(F.col(f"`{c}`").alias("words")).where("words is not null").groupBy("words").agg(F.count(F.lit(1)).alias("n"))
+        top = words.orderBy(F.desc("n"), "words").limit(MOST_CATEGORIES).collect()
+        found[c] = Baseline((r["n"] - r[f"t{i}"]) / n, shares=tuple((x["words"], x["n"] / r[f"t{i}"]) for x in top))
+    return found
 
 
 def value_counts(df: DataFrame, by: str, numeric: Sequence[str], text: Sequence[str] = ()) -> DataFrame:
@@ -65,7 +75,8 @@ def profile_loads(df: DataFrame, by: str, numeric: Sequence[str], text: Sequence
     text, of equal ones the smallest), ``low, high`` (numeric), ``shortest, longest`` (text, in characters),
     ``n_bad`` (text that doesn't match the column's pattern) and, if the column has a baseline with a range,
     ``n_outside``, ``n_inside`` (values within it), ``bins`` (their counts by bin, right-closed), ``psi`` and
-    ``chi2`` against equal shares.
+    ``chi2`` against equal shares. If a text column's baseline has shares: ``n_other`` (values that aren't among
+    them), ``category_psi`` and ``category_chi2`` of those categories and the others against them.
 
     NaN counts as null, infinities are values. Rows with null load form a load of their own; an empty table has
     no rows; a load without values of a column has null extremes. Repeated rows all count; texts may have any
@@ -94,7 +105,13 @@ def profile_loads(df: DataFrame, by: str, numeric: Sequence[str], text: Sequence
     bad = F.lit(False)
     for c, p in pats.items():
         bad = F.when(name == c, ~w.rlike(p)).otherwise(bad)
-    zero = F.lit(0)
+    zero, known_share = F.lit(0), F.lit(None).cast("double")
+    shared = {c: b.shares for c, b in base.items() if b.shares and c in text}
+    if shared:  # small enough for the planner to broadcast
+        cells = json.dumps([{"base_column": c, "base_words": value, "base_share": e} for c, s in shared.items() for value, e in s])
+        table = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(cells), "array<struct<base_column:string,base_words:string,base_share:double>>")))
+        counts = counts.join(table, (name == F.col("base_column")) & (w == F.col("base_words")), "left")
+        known_share = F.col("base_share")
     aggs = [
         F.sum(n).alias("n_rows"),
         F.sum(F.when(has, zero).otherwise(n)).alias("n_null"),
@@ -109,6 +126,7 @@ def profile_loads(df: DataFrame, by: str, numeric: Sequence[str], text: Sequence
         F.sum(F.when(has & bad, n).otherwise(zero)).alias("n_bad"),
         F.sum(F.when(has & ~inside, n).otherwise(zero)).alias("n_outside"),
         F.sum(F.when(inside, n).otherwise(zero)).alias("n_inside"),
+        F.collect_list(F.when(known_share.isNotNull(), F.struct(known_share.alias("e"), n.alias("n")))).alias("seen"),
         *[F.sum(F.when(inside & (place == k), n).otherwise(zero)).alias(f"bin{k}") for k in range(n_bins)],
     ]
     out = counts.groupBy(by, "column_name").agg(*aggs)
@@ -119,10 +137,22 @@ def profile_loads(df: DataFrame, by: str, numeric: Sequence[str], text: Sequence
     share = lambda b: F.greatest(b / total, F.lit(LEAST_SHARE))
     psi = F.aggregate(bins, F.lit(0.0), lambda s, b: s + (expected - share(b)) * F.log(F.lit(expected) / share(b)))
     chi2 = F.aggregate(bins, F.lit(0.0), lambda s, b: s + (b - expected * total) * (b - expected * total) / (expected * total))
+    has_shares, values = name.isin(list(shared)), F.col("n_values")
+    least = lambda x: F.greatest(x, F.lit(LEAST_SHARE))
+    term = lambda e, s: (least(e) - least(s)) * F.log(least(e) / least(s))
+    square = lambda e, o: (o - e * values) * (o - e * values) / (e * values)
+    seen, n_other = F.array_sort("seen"), values - F.aggregate("seen", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    # all categories as if none occurred, corrected for those that do
+    unseen = {c: sum((max(e, LEAST_SHARE) - LEAST_SHARE) * math.log(max(e, LEAST_SHARE) / LEAST_SHARE) for _, e in s) for c, s in shared.items()}
+    whole = {c: sum(e for _, e in s) for c, s in shared.items()}
+    rest = per_column({c: max(1 - x, LEAST_SHARE) for c, x in whole.items()}, "double")
+    category_psi = F.aggregate(seen, per_column(unseen, "double"), lambda s, x: s + term(x["e"], x["n"] / values) - term(x["e"], F.lit(0.0))) + term(rest, n_other / values)
+    category_chi2 = F.aggregate(seen, per_column(whole, "double") * values, lambda s, x: s + square(x["e"], x["n"]) - x["e"] * values) + square(rest, n_other)
     return out.select(
         by, "column_name", "n_rows", "n_null", "n_values", "n_distinct", "top_count", F.coalesce(F.col("top.words"), F.col("top.number").cast("string")).alias("top_value"), "low", "high", "shortest", "longest", "n_bad",
         F.when(known, F.col("n_outside")).alias("n_outside"), F.when(known, total).alias("n_inside"), F.when(known, bins).alias("bins"),
         F.when(known & (total > 0), psi).alias("psi"), F.when(known & (total > 0), chi2).alias("chi2"),
+        F.when(has_shares, n_other).alias("n_other"), F.when(has_shares & (values > 0), category_psi).alias("category_psi"), F.when(has_shares & (values > 0), category_chi2).alias("category_chi2"),
     )
 
 

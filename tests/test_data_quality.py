@@ -110,3 +110,25 @@ def test_limits_are_parameters(spark):
     prof = profile_loads(t, "load_id", ["x"], [], base)
     assert failed_checks(prof, "load_id", base).count() == 1
     assert failed_checks(prof, "load_id", base, limits=Limits(single_share=0.8)).count() == 0
+
+
+def test_categories_are_compared(spark):
+    """A load of other well-formed cities departs in its shares; against brute force."""
+    usual = ["Old Town"] * 60 + ["St. Ives"] * 30 + ["O\"H\\ära"] * 10
+    base = fit_baseline(spark.createDataFrame([(c,) for c in [*usual, None]], "city string"), [], ["city"])
+    loads = {1: usual, 2: [f"New {i % 7}" for i in range(100)], 3: ["Old Town"] * 5 + [None], 4: [None], 5: ["Old Town"] * 29999 + ["St. Ives", "Z"]}
+    t = spark.createDataFrame([(k, c) for k, v in loads.items() for c in v], "load_id int, city string")
+    got = {r["load_id"]: r for r in profile_loads(t, "load_id", [], ["city"], base).collect()}
+    shares = {c: usual.count(c) / 100 for c in usual}
+    for k, v in loads.items():
+        v = [c for c in v if c is not None]
+        r = got[k]
+        assert r["n_other"] == sum(c not in shares for c in v) and r["psi"] is None
+        if not v:
+            assert r["category_psi"] is None and r["category_chi2"] is None
+            continue
+        cells = [(e, v.count(c)) for c, e in shares.items()] + [(1e-4, r["n_other"])]
+        s = [(e, max(o / len(v), 1e-4)) for e, o in cells]
+        assert r["category_psi"] == pytest.approx(sum((e - a) * math.log(e / a) for e, a in s), abs=1e-9)
+        assert r["category_chi2"] == pytest.approx(sum((o - e * len(v)) ** 2 / (e * len(v)) for e, o in cells))
+    assert got[1]["category_psi"] < 0.01 < 1 < got[2]["category_psi"]
