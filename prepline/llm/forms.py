@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from prepline.session import cut
 
 # Letters drawn like a Latin letter, each above the Latin letter it counts as.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХԚԜԌ" "аеѕіјорсухԛԝһԁӏ"
-CYRILLIC_AS = "ABESIJKMHOPCTYXQWG" "aesijopcyxqwhdl"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "νο"
-GREEK_AS = "ABEZHIKMNOPTYX" "vo"
+CYRILLIC = "АВЕЅІЈКМНОРСТУХԚԜԌӀҮѴ" "аеѕіјорсухԛԝһԁӏүѵ"
+CYRILLIC_AS = "ABESIJKMHOPCTYXQWGIYV" "aesijopcyxqwhdlyv"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿ" "νοραιϳ"
+GREEK_AS = "ABEZHIKMNOPTYXJ" "vopaij"
 # Hyphens (soft hyphens are without width, dashes and the minus sign are other characters).
 HYPHENS = "‐‑֊᐀⁃﹣-"
 # Characters without width that are no format characters.

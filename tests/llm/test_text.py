@@ -162,3 +162,8 @@ def test_order_is_a_partition_of_the_source(spark, monkeypatch):
             assert start == at
             at += n
         assert at == total
+
+
+@pytest.mark.parametrize("letter, latin", [("Ӏ", "I"), ("Ү", "Y"), ("ү", "y"), ("Ѵ", "V"), ("ѵ", "v"), ("Ϳ", "J"), ("ρ", "p"), ("α", "a"), ("ι", "i"), ("ϳ", "j"), ("ά", "á")])
+def test_rarer_look_alikes(letter, latin):
+    assert _one_form(pa.array([f"x{letter}z"])).to_pylist() == [f"x{latin}z"]
