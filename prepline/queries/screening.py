@@ -108,6 +108,7 @@ on("line", "str_cats_report", lambda t: R.str_cats_report(t, ["flag", "status"])
 _TIME = "select year(ship) \"year\", month(ship) \"month\", " + ", ".join(f"round(avg(({c} is null)::int), 6) \"{c}_null%\", max({c}) {c}_max, min({c}) {c}_min, round(avg({c}), 6) {c}_mean, round(stddev_samp({c}), 6) {c}_std, round(var_samp({c}), 6) {c}_var" for c in ("qty", "disc"))
 on("line", "over_time_report", lambda t: R.over_time_report(t, "ship", ["qty", "disc"], ["null", "max", "min", "mean", "std", "var"]), _TIME + " from t group by 1, 2")
 on("ads", "over_time_report_invalid", lambda t: R.over_time_report(t.where("ad_ts is not null"), "ad_ts", ["area_income"], ["invalid", "mode"], "quarterly"), "+g as (select year(ad_ts) y, quarter(ad_ts) q, area_income x, count(*) n from t where ad_ts is not null group by 1, 2, 3) select y \"year\", q \"quarter\", round(sum(case when isnan(x) or isinf(x) then n else 0 end) / sum(n), 6) \"area_income_invalid%\", first(x order by n desc, x) filter (where x is not null) area_income_mode from g group by 1, 2")
+on("ads", "over_time_report_invalid_whole", lambda t: R.over_time_report(t, "ad_ts", ["area_income"], ["invalid", "mode"], "quarterly"), "+g as (select year(ad_ts) y, quarter(ad_ts) q, area_income x, count(*) n from t group by 1, 2, 3) select y \"year\", q \"quarter\", round(sum(case when isnan(x) or isinf(x) then n else 0 end) / sum(n), 6) \"area_income_invalid%\", first(x order by n desc, x) filter (where x is not null) area_income_mode from g group by 1, 2")
 on("line", "over_time_report_num", lambda t: R.over_time_report_num(t, "ship", ["qty", "disc"], "yearly"), """+l as (select 'qty' feature, year(ship) y, qty x from t union all select 'disc', year(ship), disc from t),
 g as (select feature, y, count(*) c, quantile_cont(x, 0.05) a, quantile_cont(x, 0.95) b, avg((x is null)::int) s, avg(x) m from l group by 1, 2),
 o as (select feature, avg((x is null)::int) os, avg(x) om from l group by 1),

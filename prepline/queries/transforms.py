@@ -81,6 +81,7 @@ on("line", "quantile_binning", lambda t: E.quantile_binning(t, ["qty"], 5).selec
 on("line", "format_categorical_target", lambda t: E.format_categorical_target(t, "flag")[0].select(*KEYS, "flag"), f"select {K}, case flag when 'A' then 0 when 'N' then 1 when 'R' then 2 end flag from t")
 on("line", "dense_to_sparse_target", lambda t: E.dense_to_sparse_target(t, "flag").select(*KEYS, "flag"), f"select {K}, [(flag = 'A')::int, (flag = 'N')::int, (flag = 'R')::int] flag from t")
 on("line", "sparse_to_dense_target", lambda t: E.sparse_to_dense_target(E.dense_to_sparse_target(t.where("flag is not null"), "flag"), "flag").select(*KEYS, "flag"), f"select {K}, (case flag when 'A' then 0 when 'N' then 1 when 'R' then 2 end)::bigint flag from t where flag is not null")
+on("line", "sparse_to_dense_target_whole", lambda t: E.sparse_to_dense_target(E.dense_to_sparse_target(t, "flag"), "flag").select(*KEYS, "flag"), f"select {K}, (case flag when 'A' then 0 when 'N' then 1 when 'R' then 2 end)::bigint flag from t")
 
 # text
 on("parts", "replace_by_pattern", lambda t: T.replace_by_pattern(t, "p_name", "[aeiou]", "_").select("p_partkey", "p_name"), "select p_partkey, regexp_replace(p_name, '[aeiou]', '_') p_name from t")
