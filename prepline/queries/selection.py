@@ -86,14 +86,14 @@ _ML = ["lot_frontage", "year_built", "ms_sub_class"]
 
 
 def _model(t: DataFrame):
-    return L._fit(t, "price_over_200k", _ML, {"maxIter": 5, "maxDepth": 3})
+    return L._fit(t, "price_over_200k", _ML)
 
 
 on("houses", "append_classif_score", lambda t: L.append_classif_score(t, _model(t), _ML).select("id", "model_score"))
 on("houses", "append_regression", lambda t: L.append_regression(t, _model(t), _ML).select("id", "model_score"))
-on("houses", "permutation_importance", lambda t: L.permutation_importance(t.select("price_over_200k", *_ML), "price_over_200k", {"maxIter": 5, "maxDepth": 3}, k=1))
-on("houses", "ebfs", lambda t: L.ebfs(t.select("price_over_200k", *_ML), "price_over_200k", {"maxIter": 3, "maxDepth": 2}, n_comb=2)[0])
-on("houses", "suggest_hyperparams", lambda t: L.suggest_hyperparams(t, "price_over_200k", _ML, max_trials=2)[1].select("trial", "value"))
+on("houses", "permutation_importance", lambda t: L.permutation_importance(t.select("price_over_200k", *_ML), "price_over_200k"))
+on("houses", "ebfs", lambda t: L.ebfs(t.select("price_over_200k", *_ML, (F.col("central_air") == "Y").cast("int").alias("air")), "price_over_200k")[0])
+on("houses", "suggest_hyperparams", lambda t: L.suggest_hyperparams(t, "price_over_200k", _ML)[1].select("trial", "value"))
 
 
 # pipelines
