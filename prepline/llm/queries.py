@@ -93,10 +93,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sample_plans(table(spark, d, "advertising"), table(spark, d, "sample_plans")).report.where("short").select("plan_id", "category")
 
 
-@registry.query()
+@registry.query(
+    """
+with u as (select load_id, id, coalesce(clicked_on_ad::varchar, 'none') category from advertising where id is not null group by all),
+a as (select load_id, category, count(*) n from u group by all),
+o as (select load_id, id, first(category order by n, category) category from u join a using (load_id, category) group by all),
+m as (select load_id, category, count(*) m from o group by all),
+l as (select plan_id, load_id, category, greatest(floor(target_share * sample_size + 0.5)::bigint, coalesce(min_rows, 0)) required, coalesce(n, 0) available, coalesce(m, 0) m
+      from sample_plans left join a using (load_id, category) left join m using (load_id, category))
+select plan_id, load_id, category, required, available, round(case when required > 0 and available > 0 then ln(required / available) end, 6) tilt,
+       round(case when required > 0 and m > 0 then least(1, required / m) else 0 end, 6) probability,
+       least(required, m) sampled, required - least(required, m) gap, required > available short
+from l"""
+)
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Required, available and sampled ids of all lines of plans."""
-    return sample_plans(table(spark, d, "advertising"), table(spark, d, "sample_plans")).report
+    report = sample_plans(table(spark, d, "advertising"), table(spark, d, "sample_plans")).report
+    return report.withColumns({c: F.round(c, 6) + 0.0 for c in ("tilt", "probability")})
 
 
 @registry.query()

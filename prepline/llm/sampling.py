@@ -35,14 +35,15 @@ def tilt(moment: Column, target: Column) -> Column:
     return F.when((n > 0) & (t > 0), F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), step))
 
 
-def _duels(group: np.ndarray, p: np.ndarray, draw: np.random.Generator) -> np.ndarray:
-    """The pivotal method as rounds of duels inside groups (``group`` is sorted): new probabilities.
+def _duels(group: np.ndarray, mass: np.ndarray, whole: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """The pivotal method as rounds of duels inside groups (``group`` is sorted): new masses.
 
-    A duel of p and q keeps their sum and both expectations and decides at least one of them (0 or 1), so at the
-    end each group has at most one undecided member.
+    A probability is a whole number ``mass`` out of ``whole`` (the same in a group), so no sum is ever rounded: a
+    duel of two keeps their sum and both expectations and decides at least one of them (0 or ``whole``). At the end
+    a group has at most one undecided member, and none if its masses add up to a multiple of ``whole``.
     """
-    p = p.copy()
-    open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+    mass = mass.copy()
+    open_ = np.flatnonzero((mass > 0) & (mass < whole))
     while len(open_) > 1:
         g = group[open_]
         first = np.concatenate([[True], g[1:] != g[:-1]])
@@ -51,42 +52,51 @@ def _duels(group: np.ndarray, p: np.ndarray, draw: np.random.Generator) -> np.nd
         if not len(a):
             break
         i, j = open_[a], open_[a + 1]
-        pi, pj, u = p[i], p[j], draw.random(len(a))
-        s = pi + pj
-        low = s < 1
-        i_wins = np.where(low, u * s < pi, u * (2 - s) < 1 - pj)
-        top, rest = np.where(low, s, 1.0), np.where(low, 0.0, s - 1)
-        p[i], p[j] = np.where(i_wins, top, rest), np.where(i_wins, rest, top)
-        open_ = open_[(p[open_] > 1e-9) & (p[open_] < 1 - 1e-9)]
-    return np.where(p > 1 - 1e-9, 1.0, np.where(p < 1e-9, 0.0, p))
+        x, y, w = mass[i], mass[j], whole[i]
+        s = x + y
+        low = s < w  # below it the loser gets 0, else the winner gets all of ``whole``
+        i_wins = np.where(low, draw.integers(0, s) < x, draw.integers(0, np.where(low, 1, 2 * w - s)) < w - y)
+        top, rest = np.where(low, s, w), np.where(low, 0, s - w)
+        mass[i], mass[j] = np.where(i_wins, top, rest), np.where(i_wins, rest, top)
+        open_ = open_[(mass[open_] > 0) & (mass[open_] < whole[open_])]
+    return mass
 
 
-_DUEL = pa.schema([("plan_id", pa.int64()), ("category", pa.string()), ("id", pa.int64()), ("p", pa.float64()), ("u", pa.int64())])
+_DUEL = pa.schema([("plan_id", pa.int64()), ("category", pa.string()), ("id", pa.int64()), ("mass", pa.int64()), ("whole", pa.int64()), ("u", pa.int64())])
 
 
-def _pivotal(seed: int, final: bool):
+def _starts(t: pa.Table) -> np.ndarray:
+    """Whether each row of a sorted table is the first of its plan and category; nulls are equal."""
+    change = np.zeros(len(t), bool)
+    change[:1] = True
+    for c in ("plan_id", "category"):
+        codes = t[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        change[1:] |= codes[1:] != codes[:-1]
+    return change
+
+
+def _pivotal(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows plan_id, category, id, p, u: emits the chosen (p = 1); the undecided ones compete with the next batch.
+        """Rows sorted by plan_id and category: emits the chosen (mass = whole) and the undecided one of each line.
 
-        At the end at most one of a plan and category is left, emitted with its probability, or drawn if final.
+        A batch is worked off with the one row of the line it starts in the middle of that is still undecided, so
+        a task holds one batch, however many lines or rows of a line it has.
         """
         left: pa.Table | None = None
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b]).cast(_DUEL)
             t = t if left is None else pa.concat_tables([left, t])
-            t = t.sort_by([("plan_id", "ascending"), ("category", "ascending"), ("u", "ascending")])
-            plan, cat = t["plan_id"].to_numpy(), t["category"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            new = np.concatenate([[True], (plan[1:] != plan[:-1]) | (cat[1:] != cat[:-1])]) if len(plan) else np.zeros(0, bool)
-            draw = np.random.default_rng([seed & 0xFFFFFFFF, int(t["u"][0].as_py()) & 0xFFFFFFFF, len(plan)] if len(plan) else seed)
-            p = _duels(np.cumsum(new), t["p"].to_numpy(), draw)
-            t = t.set_column(t.schema.get_field_index("p"), "p", pa.array(p))
-            yield from t.filter(pa.array(p == 1.0)).to_batches()
-            left = t.filter(pa.array((p > 0) & (p < 1)))
-        if left is not None and len(left):
-            if final:
-                p = left["p"].to_numpy()
-                u = left["u"].to_numpy().astype(np.uint64) / 2.0**64
-                left = left.set_column(left.schema.get_field_index("p"), "p", pa.array(np.where((p > 1 - 1e-6) | ((p > 1e-6) & (u < p)), 1.0, 0.0)))
+            group = np.cumsum(_starts(t))
+            whole = t["whole"].to_numpy()
+            draw = np.random.default_rng([seed & 0xFFFFFFFF, int(t["u"][0].as_py()) & 0xFFFFFFFF, len(t)])
+            mass = _duels(group, t["mass"].to_numpy(), whole, draw)
+            t = t.set_column(t.schema.get_field_index("mass"), "mass", pa.array(mass))
+            stays = (mass > 0) & (mass < whole) & (group == group[-1])
+            yield from t.filter(pa.array((mass > 0) & ~stays)).to_batches()
+            left = t.filter(pa.array(stays)) if stays.any() else None
+        if left is not None:
             yield from left.to_batches()
 
     return run
@@ -105,14 +115,16 @@ def sample_plans(df: DataFrame, plans: DataFrame, id_col: str = "id", part_col:
     which the tilt above 0 finds).
 
     An id with rows of several categories in a part counts as available in each but is drawn at most once, under
-    the category with the fewest ids (of equal ones the smaller name). Null shares and sizes are 0, repeated
+    the category with the fewest ids (of equal ones the smaller name). A null plan is a plan. Null shares and sizes are 0, repeated
     lines of a plan one line with the sum of shares and the largest minimum and size; lines of parts without
     rows have nothing available, so without rows every line is short that requires any; null ids are no records;
     repeated rows are one record. Ids of categories without a line are never drawn. Other columns are ignored,
     whatever their names.
 
-    Category moments are counted before the shuffle. Duels are held where the rows lie; only the at most one
-    undecided id of each task and line is moved, so a part with a third of all rows is no task of its own.
+    Category moments are counted before the shuffle. Duels are held where the rows lie, sorted by line; only the at
+    most one undecided id of each task and line is moved, so a part with a third of all rows is no task of its own.
+    A probability is kept as a whole number out of the category's ids, so that it may be as small or as near to 1
+    as it likes: the masses of a line add up to exactly ``required`` times those ids, also after every duel.
     """
     seen = (
         df.where(F.col(f"`{id_col}`").isNotNull())
@@ -135,15 +147,19 @@ def sample_plans(df: DataFrame, plans: DataFrame, id_col: str = "id", part_col:
         .withColumn("tilt", tilt(F.col("available"), F.col("required")))
         .withColumn("probability", F.when(F.col("required") <= 0, 0.0).otherwise(F.coalesce(F.least(F.lit(1.0), F.exp(tilt(F.col("moment"), F.col("required")))), F.lit(0.0))))
     )
-    wanted = lines.where("probability > 0").select("plan_id", "part", "category", F.when(F.col("probability") > 1 - 1e-12, 1.0).otherwise(F.col("probability")).alias("p"))
-    kind = "plan_id bigint, category string, id bigint, p double, u bigint"
-    drawn = own.join(wanted, ["part", "category"]).select(F.col("plan_id").cast("bigint"), "category", F.col("id").cast("bigint"), "p", F.xxhash64(F.lit(seed), "plan_id", "id").alias("u"))
-    decided = cut(drawn.mapInArrow(_pivotal(seed, False), kind))
-    last = decided.where("p < 1").repartition("plan_id", "category").mapInArrow(_pivotal(seed + 1, True), kind)
-    sample = decided.where("p = 1").unionByName(last.where("p = 1")).select("plan_id", "id", "category")
+    mass = F.least(F.col("moment"), F.greatest(F.lit(1), F.round(F.col("probability") * F.col("moment")).cast("bigint")))
+    wanted = lines.where("probability > 0").select("plan_id", "part", "category", mass.alias("mass"), F.col("moment").alias("whole"))
+    kind = "plan_id bigint, category string, id bigint, mass bigint, whole bigint, u bigint"
+    line, order = ["plan_id", "category"], ["plan_id", "category", "u", "id"]
+    drawn = own.join(wanted, ["part", "category"]).select(F.col("plan_id").cast("bigint"), "category", F.col("id").cast("bigint"), "mass", "whole", F.xxhash64(F.lit(seed), "plan_id", "id").alias("u"))
+    decided = cut(drawn.sortWithinPartitions(*order).mapInArrow(_pivotal(seed), kind))
+    last = decided.where("mass < whole").repartition(*line).sortWithinPartitions(*order).mapInArrow(_pivotal(seed + 1), kind)
+    sample = decided.where("mass = whole").unionByName(last.where("mass = whole")).select("plan_id", "id", "category")
     counts = sample.groupBy("plan_id", "category").agg(F.count(F.lit(1)).alias("sampled"))
     report = (
-        lines.join(counts, ["plan_id", "category"], "left")
+        lines.alias("l")
+        .join(counts.alias("c"), F.col("l.plan_id").eqNullSafe(F.col("c.plan_id")) & (F.col("l.category") == F.col("c.category")), "left")
+        .select("l.*", "sampled")
         .withColumn("sampled", F.coalesce("sampled", F.lit(0)))
         .withColumn("gap", F.col("required") - F.col("sampled"))
         .withColumn("short", (F.col("gap") > 0) & ((F.col("tilt") > 0) | (F.col("available") == 0)) & (F.col("required") > F.col("available")))

@@ -100,24 +100,60 @@ def test_sketch_edges(spark):
 
 def test_duels_keep_sums_and_expectations():
     rng = np.random.default_rng(7)
-    p = np.array([0.2, 0.3, 0.5, 0.9, 0.1, 0.4, 0.6, 0.25, 0.75])
+    m = np.array([20, 30, 50, 90, 10, 40, 60, 25, 75])
     g = np.array([0, 0, 0, 1, 1, 2, 2, 2, 2])
-    mean = np.zeros(len(p))
+    whole = np.full(len(m), 100)
+    mean = np.zeros(len(m))
     for _ in range(4000):
-        q = _duels(g, p, rng)
-        assert all(q[g == i].sum() == pytest.approx(p[g == i].sum()) for i in range(3))
-        assert ((q == 0) | (q == 1)).all()
+        q = _duels(g, m, whole, rng)
+        assert all(q[g == i].sum() == m[g == i].sum() for i in range(3))
+        assert ((q == 0) | (q == 100)).all()
         mean += q / 4000
-    assert np.abs(mean - p).max() < 0.035
-
-
-def test_pivotal_over_batches():
-    names = ["plan_id", "category", "id", "p", "u"]
-    rows = [(1, "a", i, 0.25, (i * 2654435761) % 2**40) for i in range(100)] + [(1, "b", i, 0.3, i) for i in range(7)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 13])], names=names) for k in range(0, len(rows), 13)]
-    out = pa.Table.from_batches(list(_pivotal(1, False)(iter(batches)))).to_pylist()
-    assert sum(r["p"] == 1 for r in out if r["category"] == "a") == 25
-    assert sum(r["p"] for r in out if r["category"] == "b") == pytest.approx(2.1)
+    assert np.abs(mean - m).max() < 3.5
+
+
+@pytest.mark.parametrize("taken", [1, 2_000_000_000 - 1])
+def test_duels_of_tiny_and_nearly_whole_probabilities(taken):
+    """2e9 records of which one (or all but one) is wanted, in blocks of 100,000."""
+    whole, block = 2_000_000_000, 100_000
+    rng = np.random.default_rng(3)
+    left, chosen = [], 0
+    for _ in range(20):
+        q = _duels(np.zeros(block, int), np.full(block, taken), np.full(block, whole), rng)
+        assert q.sum() == block * taken
+        chosen += int((q == whole).sum())
+        left += q[(q > 0) & (q < whole)].tolist()
+    rest = (whole // block - 20) * [block * taken % whole]  # the undecided ones of the other blocks
+    chosen += (whole // block - 20) * (block * taken // whole)
+    q = _duels(np.zeros(len(left) + len(rest), int), np.array(left + rest), np.full(len(left) + len(rest), whole), rng)
+    assert ((q == 0) | (q == whole)).all() and chosen + (q == whole).sum() == taken
+
+
+@pytest.mark.parametrize("size", [1, 13, 64, 10_000])
+def test_pivotal_over_batches(size):
+    names = ["plan_id", "category", "id", "mass", "whole", "u"]
+    rows = [(None, "a", 5, 1, 2, 0)] + [(1, "a", i, 1, 4, (i * 2654435761) % 2**40) for i in range(100)] + [(1, "b", i, 3, 10, i) for i in range(7)] + [(1, None, i, 1, 2, i) for i in range(2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size])], names=names) for k in range(0, len(rows), size)]
+    out = pa.Table.from_batches(list(_pivotal(1)(iter(batches)))).to_pylist()
+    assert sum(r["mass"] == r["whole"] for r in out if r["category"] == "a" and r["plan_id"]) == 25
+    b = [r["mass"] for r in out if r["category"] == "b"]
+    assert sum(b) == 21 and sum(0 < x < 10 for x in b) == 1
+    assert [r["mass"] for r in out if r["plan_id"] is None] == [1] and sum(r["mass"] == 2 for r in out if r["category"] is None) == 1
+
+
+def test_many_lines(spark):
+    """More lines than a batch has rows, each met exactly."""
+    t = spark.range(60_000).selectExpr("cast(id % 20000 as int) load_id", "id", "cast(id % 2 as int) clicked_on_ad")
+    plans = spark.range(20_000).selectExpr("id plan_id", "cast(id as int) load_id", "string(id % 2) category", "1.0 target_share", "cast(null as int) min_rows", "2 sample_size")
+    r = sample_plans(t, plans).report
+    assert r.where("sampled = 2 and gap = 0 and required = 2 and available = 3").count() == 20_000
+
+
+def test_tiny_share_of_many(spark):
+    t = spark.range(300_000).selectExpr("1 load_id", "id", "1 clicked_on_ad")
+    plans = spark.createDataFrame([(i, 1, "1", 1.0, None, n) for i, n in enumerate([1, 3, 299_999, 300_000])] + [(None, 1, "1", 1.0, None, 7)], "plan_id bigint, load_id int, category string, target_share double, min_rows int, sample_size int")
+    got = sample_plans(t, plans)
+    assert {x["plan_id"]: (x["sampled"], x["gap"]) for x in got.report.collect()} == {0: (1, 0), 1: (3, 0), 2: (299_999, 0), 3: (300_000, 0), None: (7, 0)}
 
 
 def test_sample_plans(spark):
