@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,149 +15,270 @@ from prepline.session import cut
 
 #: Entries of a container, beyond which it bursts into one container for each next character.
 BURST = 512
-#: Rows that a worker gathers before it adds them to its tries.
-GATHER = 200_000
-#: Prefixes are lengthened until the containers below one hold no more entries than this ...
+#: Rows and bytes that a worker gathers before it adds them to its tries.
+GATHER, GATHER_BYTES = 200_000, 64 << 20
+#: Entries and characters of a worker's tries, beyond which their containers are emitted and the tries emptied.
+HELD, HELD_CHARS = 400_000, 64 << 20
+#: Characters of the containers of one emitted batch.
+EMIT_CHARS = 8 << 20
+#: Most entries of a route; an entry of many characters weighs as much as several.
 ROUTE_ENTRIES = 50_000
-#: ... or than all entries divided by this, which bounds what the driver learns of the prefixes.
+#: Characters that weigh as much as an entry.
+ENTRY_CHARS = 128
+#: Prefixes are lengthened until the containers below one weigh no more than a route, or than all entries divided by this ...
 ROUTES = 4096
+#: ... up to this many characters; routes that are still too heavy are split by a hash of their items.
+PREFIX_CHARS = 32
 
 _COUNTERS = 4  # occurrences and records as a value, occurrences and records as a term
 
 
+class _Node:
+    """What follows one path: a shared ``label``, then branches by the next character or, without any, a container."""
+
+    __slots__ = ("label", "kids", "held")
+
+    def __init__(self, label: str = "", held: dict[str, list[int]] | None = None):
+        self.label = label
+        self.kids: dict[str, _Node] | None = None
+        self.held: dict[str, list[int]] = {} if held is None else held  # of a node with branches only the entry that ends here
+
+
 class BurstTrie:
-    """Strings with counters: nodes branch by character down to containers of suffixes, which burst when full."""
+    """Strings with counters: path-compressed nodes branch by character down to containers, which burst when full.
 
-    def __init__(self, limit: int = BURST):
-        self.limit = limit
-        self.root: dict = {"": {}}  # a node maps characters to nodes; "" is its container, or the entry that ends here
+    Paths of any length are walked without recursion; characters that all entries below a node share are its label.
+    """
 
-    def add(self, key: str, counts: Sequence[int]) -> None:
+    def __init__(self, limit: int = 0):
+        self.limit = limit or BURST
+        self.root = _Node()
+        self.entries = self.chars = 0
+
+    def _reach(self, key: str) -> tuple[_Node, str]:
+        """The node at or above the end of ``key`` that has a container, or ends where ``key`` does, and the rest of ``key``."""
         node, at = self.root, 0
-        while at < len(key) and (below := node.get(key[at])) is not None:
-            node, at = below, at + 1
-        if len(node) > 1 and at < len(key):  # a burst node without that branch
-            node[key[at]] = node = {"": {}}
-            at += 1
-        held = node[""]
-        rest = key[at:]
-        if (old := held.get(rest)) is None:
-            held[rest] = list(counts)
-            if len(held) > self.limit:
+        while True:
+            label = node.label
+            if label and not key.startswith(label, at):
+                n = len(commonprefix((label, key[at : at + len(label)])))
+                below = _Node(label[n + 1 :], node.held)
+                below.kids = node.kids
+                node.label, node.kids, node.held = label[:n], {label[n]: below}, {}
+                label = node.label
+            at += len(label)
+            if node.kids is None or at == len(key):
+                return node, key[at:]
+            kid = node.kids.get(key[at])
+            if kid is None:
+                kid = node.kids[key[at]] = _Node()
+            node, at = kid, at + 1
+
+    def add(self, key: str, counts: Sequence[int]) -> None:
+        node, rest = self._reach(key)
+        old = node.held.get(rest)
+        if old is None:
+            node.held[rest] = list(counts)
+            self.entries += 1
+            self.chars += len(rest)
+            if node.kids is None and len(node.held) > self.limit:
                 self._burst(node)
         else:
             for i, c in enumerate(counts):
                 old[i] += c
 
-    def _burst(self, node: dict) -> None:
-        held, node[""] = node[""], {}
-        for rest, counts in held.items():
-            if rest:
-                node.setdefault(rest[0], {"": {}})[""][rest[1:]] = counts
+    def graft(self, prefix: str, held: dict[str, list[int]]) -> None:
+        """Merges a container that another trie has at ``prefix``: as a whole where the subtrees match, else by entry."""
+        node, rest = self._reach(prefix)
+        if node.kids is not None:  # this trie has burst there
+            for suffix, counts in held.items():
+                self.add(prefix + suffix, counts)
+            return
+        own = node.held
+        if not own and not self.limit < len(held):
+            node.label += rest
+            node.held = dict(held)
+            self.entries += len(held)
+            self.chars += sum(map(len, held))
+            return
+        for suffix, counts in held.items():
+            old = own.get(rest + suffix)
+            if old is None:
+                own[rest + suffix] = counts
+                self.entries += 1
+                self.chars += len(rest) + len(suffix)
             else:
-                node[""][""] = counts
-        for child in [c for k, c in node.items() if k and len(c[""]) > self.limit]:
-            self._burst(child)
+                for i, c in enumerate(counts):
+                    old[i] += c
+        if len(own) > self.limit:
+            self._burst(node)
+
+    def _burst(self, node: _Node) -> None:
+        """Moves what all entries share to the label and the rest to a container for each next character, and so on."""
+        todo = [node]
+        while todo:
+            node = todo.pop()
+            held = node.held
+            shared = commonprefix((min(held), max(held)))
+            node.label += shared
+            node.kids, node.held = {}, {}
+            n = len(shared)
+            self.chars -= n * (len(held) - 1)
+            for rest, counts in held.items():
+                if len(rest) == n:
+                    node.held[""] = counts
+                else:
+                    node.kids.setdefault(rest[n], _Node()).held[rest[n + 1 :]] = counts
+            todo += [kid for kid in node.kids.values() if len(kid.held) > self.limit]
 
     def containers(self) -> Iterator[tuple[str, dict[str, list[int]]]]:
         """(prefix, suffixes with counters) of each container."""
         todo = [("", self.root)]
         while todo:
             prefix, node = todo.pop()
-            if node[""]:
-                yield prefix, node[""]
-            todo += [(prefix + k, below) for k, below in node.items() if k]
+            prefix += node.label
+            if node.held:
+                yield prefix, node.held
+            todo += [(prefix + k, kid) for k, kid in (node.kids or {}).items()]
+
+
+_CONTAINER = pa.schema([("field", pa.string()), ("prefix", pa.string()), ("weight", pa.int64()), ("suffixes", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_CONTAINER_SQL = "field string, prefix string, weight bigint, suffixes array<string>, counts array<bigint>"
+
 
+def _weight(prefix: str, held: dict[str, list[int]]) -> int:
+    return len(held) + (len(held) * len(prefix) + sum(map(len, held))) // ENTRY_CHARS
 
-_CONTAINER = "field string, prefix string, entries bigint, suffixes array<string>, counts array<bigint>"
 
+def _rows(part: list[tuple[str, str, dict[str, list[int]]]]) -> pa.RecordBatch:
+    fields, prefixes, held = zip(*part)
+    columns = [fields, prefixes, [_weight(p, h) for p, h in zip(prefixes, held)], [list(h) for h in held], [[c for x in h.values() for c in x] for h in held]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTAINER)], schema=_CONTAINER)
 
-def _rows(found: Iterator[tuple[str, str, dict[str, list[int]]]], schema: pa.Schema, routes: list[str] | None = None) -> pa.RecordBatch:
-    fields, prefixes, suffixes, counts = [], [], [], []
-    for field, prefix, held in found:
-        fields.append(field)
-        prefixes.append(prefix)
-        suffixes.append(list(held))
-        counts.append([c for x in held.values() for c in x])
-    columns = [pa.array(fields, pa.string()), pa.array(prefixes, pa.string()), pa.array([len(s) for s in suffixes], pa.int64()), pa.array(suffixes, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+def _emit(tries: dict[str, BurstTrie]) -> Iterator[pa.RecordBatch]:
+    part: list = []
+    size = 0
+    for field, trie in tries.items():
+        for prefix, held in trie.containers():
+            part.append((field, prefix, held))
+            size += len(prefix) + sum(map(len, held)) + 64 * len(held)
+            if size >= EMIT_CHARS:
+                yield _rows(part)
+                part, size = [], 0
+    if part:
+        yield _rows(part)
 
 
 def _count_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds a worker's rows (field, item, and four counters) to one trie per field; emits the containers."""
+    """Adds a worker's rows (field, item, and four counters) to one trie per field; emits the containers.
+
+    Tries that have grown too large are emitted and begun anew, so a task's memory doesn't grow with its items.
+    """
     tries: dict[str, BurstTrie] = {}
     held: list[pa.RecordBatch] = []
+    rows = size = 0
 
     def add() -> None:
         t = pa.Table.from_batches(held).group_by(["field", "item"]).aggregate([(f"c{i}", "sum") for i in range(_COUNTERS)])
         counts = zip(*[t[f"c{i}_sum"].to_pylist() for i in range(_COUNTERS)])
         for field, item, c in zip(t["field"].to_pylist(), t["item"].to_pylist(), counts):
-            tries.setdefault(field, BurstTrie()).add(item, c)
+            if field not in tries:
+                tries[field] = BurstTrie()
+            tries[field].add(item, c)
         held.clear()
 
-    rows = 0
     for b in batches:
         held.append(b)
         rows += b.num_rows
-        if rows >= GATHER:
+        size += b.nbytes
+        if rows >= GATHER or size >= GATHER_BYTES:
             add()
-            rows = 0
+            rows = size = 0
+            if sum(t.entries for t in tries.values()) > HELD or sum(t.chars for t in tries.values()) > HELD_CHARS:
+                yield from _emit(tries)
+                tries.clear()
     if held:
         add()
-    schema = pa.schema([("field", pa.string()), ("prefix", pa.string()), ("entries", pa.int64()), ("suffixes", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-    part: list = []
-    for field, trie in tries.items():
-        for prefix, c in trie.containers():
-            part.append((field, prefix, c))
-            if len(part) == 256:
-                yield _rows(iter(part), schema)
-                part = []
-    if part:
-        yield _rows(iter(part), schema)
+    yield from _emit(tries)
 
 
 def _heavy_prefixes(containers: DataFrame) -> frozenset[tuple[str, str]]:
-    """Prefixes with too many entries below them for one task; at most ``ROUTES`` on each level."""
-    total = containers.agg(F.sum("entries")).first()[0] or 0
+    """Prefixes with too many entries below them for one task; at most ``ROUTES`` of each length come to the driver."""
+    total = containers.agg(F.sum("weight")).first()[0] or 0
     most = max(ROUTE_ENTRIES, total // ROUTES)
     if total <= most:
         return frozenset()
-    below = containers.select("field", "entries", F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda n: F.substring("prefix", F.lit(1), n))).alias("p"))
-    return frozenset((r["field"], r["p"]) for r in below.groupBy("field", "p").agg(F.sum("entries").alias("n")).where(F.col("n") > most).collect())
+    lengths = F.sequence(F.lit(0), F.least(F.length("prefix"), F.lit(PREFIX_CHARS)))
+    below = containers.select("field", "weight", F.explode(F.transform(lengths, lambda n: F.substring("prefix", F.lit(1), n))).alias("p"))
+    return frozenset((r["field"], r["p"]) for r in below.groupBy("field", "p").agg(F.sum("weight").alias("n")).where(F.col("n") > most).collect())
 
 
-def _router(heavy: frozenset[tuple[str, str]]):
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Gives each container the shortest prefix that isn't heavy; one above such a prefix is split."""
+_ROUTED = pa.schema([("field", pa.string()), ("route", pa.string()), ("part", pa.int64()), *list(_CONTAINER)[1:]])
+_ROUTED_SQL = "field string, route string, part bigint, prefix string, weight bigint, suffixes array<string>, counts array<bigint>"
+
+
+def _pieces(route_of):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Divides each container among the (route, part) that ``route_of(row)`` gives for it, or for each of its suffixes."""
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("field", "route", "prefix", "suffixes", "counts")}
+            out: list[tuple] = []
             for row in b.to_pylist():
-                field, prefix = row["field"], row["prefix"]
-                r = next((prefix[:n] for n in range(len(prefix) + 1) if (field, prefix[:n]) not in heavy), None)
-                groups: dict[str, list[int]] = {}
+                whole, each = route_of(row)
+                if whole is not None:
+                    out.append((row["field"], *whole, row["prefix"], row["weight"], row["suffixes"], row["counts"]))
+                    continue
+                groups: dict[tuple[str, int], list[int]] = {}
                 for i, s in enumerate(row["suffixes"]):
-                    if r is None:
-                        own = next((s[:n] for n in range(1, len(s) + 1) if (field, prefix + s[:n]) not in heavy), s + "\0")
-                        groups.setdefault(prefix + own, []).append(i)
-                    else:
-                        groups.setdefault(r, []).append(i)
+                    groups.setdefault(each(s), []).append(i)
                 for to, at in groups.items():
-                    for k, v in (("field", field), ("route", to), ("prefix", prefix), ("suffixes", [row["suffixes"][i] for i in at]), ("counts", [c for i in at for c in row["counts"][_COUNTERS * i : _COUNTERS * (i + 1)]])):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["field"], pa.string()), pa.array(out["route"], pa.string()), pa.array(out["prefix"], pa.string()), pa.array(out["suffixes"], pa.list_(pa.string())), pa.array(out["counts"], pa.list_(pa.int64()))], names=list(out))
+                    held = {row["suffixes"][i]: row["counts"][_COUNTERS * i : _COUNTERS * (i + 1)] for i in at}
+                    out.append((row["field"], *to, row["prefix"], _weight(row["prefix"], held), list(held), [c for x in held.values() for c in x]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(_ROUTED), _ROUTED)], schema=_ROUTED)
+
+    return split
+
+
+def _router(heavy: frozenset[tuple[str, str]]):
+    """Gives each item the shortest of its prefixes that isn't heavy."""
+
+    def route_of(row: dict):
+        field, prefix = row["field"], row["prefix"]
+        light = lambda text, start: next((text[:n] for n in range(start, min(len(text), PREFIX_CHARS) + 1) if (field, text[:n]) not in heavy), None)
+        r = light(prefix, 0)
+        if r is None and len(prefix) >= PREFIX_CHARS:
+            r = prefix[:PREFIX_CHARS]
+        if r is not None:
+            return (r, 0), None
+        return None, lambda s: ((light(prefix + s[:PREFIX_CHARS], len(prefix)) or (prefix + s)[:PREFIX_CHARS]), 0)
+
+    return _pieces(route_of)
+
+
+def _splitter():
+    """Divides what is on a route that is too heavy (``parts`` above 1) by a hash of the items."""
+
+    def route_of(row: dict):
+        prefix, parts = row["prefix"], row["parts"]
+        if parts <= 1:
+            return (row["route"], 0), None
+        start = zlib.crc32(prefix.encode())
+        return None, lambda s: (row["route"], zlib.crc32(s.encode(), start) % parts)
 
-    return route
+    return _pieces(route_of)
 
 
 def _merge(t: pa.Table) -> pa.Table:
-    """Joins the containers below one prefix, of all workers."""
-    suffixes = t["suffixes"].combine_chunks()
-    sizes = pc.list_value_length(suffixes).to_numpy(zero_copy_only=False)
-    prefix = t["prefix"].combine_chunks().take(pa.array(np.repeat(np.arange(len(t)), sizes)))
-    counts = t["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, _COUNTERS)
-    items = pa.table({"item": pc.binary_join_element_wise(prefix, suffixes.flatten(), "")} | {f"c{i}": counts[:, i] for i in range(_COUNTERS)})
-    done = items.group_by("item").aggregate([(f"c{i}", "sum") for i in range(_COUNTERS)])
-    return pa.table({"field": pa.array([t["field"][0].as_py()] * len(done), pa.string()), "item": done["item"]} | {f"c{i}": done[f"c{i}_sum"] for i in range(_COUNTERS)})
+    """Merges the containers on one route, of all workers, into one trie."""
+    trie = BurstTrie()
+    for prefix, suffixes, counts in zip(t["prefix"].to_pylist(), t["suffixes"].to_pylist(), t["counts"].to_pylist()):
+        trie.graft(prefix, {s: counts[_COUNTERS * i : _COUNTERS * (i + 1)] for i, s in enumerate(suffixes)})
+    items, counts = [], []
+    for prefix, held in trie.containers():
+        items += [prefix + s for s in held]
+        counts += held.values()
+    found = np.array(counts, np.int64).reshape(-1, _COUNTERS)
+    return pa.table({"field": pa.array([t["field"][0].as_py()] * len(items), pa.string()), "item": pa.array(items, pa.string())} | {f"c{i}": found[:, i] for i in range(_COUNTERS)})
 
 
 def clean_value(c: str) -> Column:
@@ -175,7 +297,8 @@ def count_terms(df: DataFrame, fields: Sequence[str], record: str) -> DataFrame:
 
     Each row's items are first counted by record and item, before and after one shuffle, so neither a hot record
     nor a hot item meets in one task. Workers then count items in burst tries; the containers of all workers are
-    routed by prefixes that are lengthened where there are many entries, and merged below each prefix.
+    routed by prefixes that are lengthened where there are many entries, and merged below each prefix into one
+    trie. A route that holds too many entries still is split by a hash, so that none outgrows a task.
     """
     items = []
     for f in fields:
@@ -188,9 +311,14 @@ def count_terms(df: DataFrame, fields: Sequence[str], record: str) -> DataFrame:
     per_record = rows.groupBy("record", "field", "item").agg(F.sum("v").alias("v"), F.sum("t").alias("t"))
     known = F.col("record").isNotNull()
     counted = per_record.select("field", "item", F.col("v").alias("c0"), (known & (F.col("v") > 0)).cast("bigint").alias("c1"), F.col("t").alias("c2"), (known & (F.col("t") > 0)).cast("bigint").alias("c3"))
-    containers = cut(counted.mapInArrow(_count_locally, _CONTAINER))
-    routed = containers.mapInArrow(_router(_heavy_prefixes(containers)), "field string, route string, prefix string, suffixes array<string>, counts array<bigint>")
-    merged = routed.groupBy("field", "route").applyInArrow(_merge, "field string, item string, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
+    containers = cut(counted.mapInArrow(_count_locally, _CONTAINER_SQL))
+    if heavy := _heavy_prefixes(containers):
+        routed = cut(containers.mapInArrow(_router(heavy), _ROUTED_SQL))
+        parts = routed.groupBy("field", "route").agg(F.ceil(F.sum("weight") / ROUTE_ENTRIES).alias("parts")).where("parts > 1")
+        routed = routed.join(parts, ["field", "route"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).mapInArrow(_splitter(), _ROUTED_SQL)
+    else:
+        routed = containers.select("field", F.lit("").alias("route"), F.lit(0).cast("bigint").alias("part"), "prefix", "weight", "suffixes", "counts")
+    merged = routed.groupBy("field", "route", "part").applyInArrow(_merge, "field string, item string, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
     kinds = F.array(
         F.when(F.col("c0") > 0, F.struct(F.lit("value").alias("kind"), F.col("c0").alias("occurrences"), F.col("c1").alias("records"))),
         F.when(F.col("c2") > 0, F.struct(F.lit("term").alias("kind"), F.col("c2").alias("occurrences"), F.col("c3").alias("records"))),

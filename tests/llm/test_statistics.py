@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +41,30 @@ def test_trie_counts(words, limit):
     assert found == {w: [n, 0, 2 * n, 0] for w, n in Counter(words).items()}
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet="abé", max_size=7), max_size=60), max_size=5), st.integers(1, 8), st.integers(1, 8))
+def test_tries_merge(workers, limit, other):
+    merged = BurstTrie(other)
+    for words in workers:
+        trie = BurstTrie(limit)
+        for w in words:
+            trie.add(w, (1, 0, 2, 0))
+        for prefix, held in trie.containers():
+            merged.graft(prefix, held)
+    want = Counter(w for words in workers for w in words)
+    assert {p + s: c for p, held in merged.containers() for s, c in held.items()} == {w: [n, 0, 2 * n, 0] for w, n in want.items()}
+    assert merged.entries == len(want)
+
+
+def test_trie_of_long_paths():
+    trie = BurstTrie(16)
+    words = ["x" * 10_000 + str(i) for i in range(600)] + ["y" * i for i in range(3000)] + ["z" * 50_000]
+    for w in words * 2:
+        trie.add(w, (1, 1, 1, 1))
+    assert {p + s: c[0] for p, held in trie.containers() for s, c in held.items()} == dict.fromkeys(words, 2)
+    assert trie.chars < 200_000
+
+
 def brute_terms(rows):
     occ, rec = Counter(), defaultdict(set)
     for i, v in rows:
@@ -52,10 +77,30 @@ def brute_terms(rows):
     return {(*k, n, len(rec[k])) for k, n in occ.items()}
 
 
-@pytest.mark.parametrize("route", [50_000, 3])
-def test_terms(spark, monkeypatch, route):
+@pytest.mark.parametrize("held, emitted", [(1, 300), (10**6, 1), (10, 10**6)])
+def test_workers_empty_their_tries(monkeypatch, held, emitted):
+    for k, v in {"HELD": held, "GATHER": 50, "BURST": 4, "EMIT_CHARS": emitted}.items():
+        monkeypatch.setattr(terms, k, v)
+    rng = np.random.default_rng(0)
+    items = [f"{'pre' * (i % 3)}{i}" for i in rng.integers(0, 80, 500)]
+    names = ["field", "item", "c0", "c1", "c2", "c3"]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(names, [["f"] * 25, items[k : k + 25], *[[1] * 25] * 4]))) for k in range(0, 500, 25)]
+    out = pa.Table.from_batches(list(terms._count_locally(iter(batches))))
+    split = [pa.Table.from_batches([b]).append_column("route", pa.array(["r"] * b.num_rows)).append_column("parts", pa.array([3] * b.num_rows)) for b in out.to_batches()]
+    parts = pa.Table.from_batches(list(terms._splitter()(iter([b for t in split for b in t.to_batches()]))))
+    found = Counter()
+    for p in range(3):
+        own = parts.filter(pa.compute.equal(parts["part"], p))
+        merged = terms._merge(own)
+        assert not set(merged["item"].to_pylist()) & set(found)
+        found.update(dict(zip(merged["item"].to_pylist(), merged["c0"].to_pylist())))
+    assert found == Counter(items)
+
+
+@pytest.mark.parametrize("route, length", [(50_000, 32), (3, 32), (3, 1), (20, 0)])
+def test_terms(spark, monkeypatch, route, length):
     monkeypatch.setattr(terms, "ROUTE_ENTRIES", route)
-    monkeypatch.setattr(terms, "BURST", 4)
+    monkeypatch.setattr(terms, "PREFIX_CHARS", length)
     rng = np.random.default_rng(0)
     rows = [(int(i), " ".join(rng.choice(["New", "old", "Port", "saint saint", "x", " y\t"], rng.integers(0, 4)))) for i in rng.integers(0, 150, 400)]
     rows += [(1, None), (None, "New Port"), (None, None), (2, " \n "), (3, "NEW port"), (3, "NEW port")] + [(5, f"p{i % 40}") for i in range(200)]
@@ -71,6 +116,11 @@ def test_very_long_value(spark):
     assert r == {("term", "ab"): 50_000, ("value", "ab "): 1, ("value", "zzz"): 1, ("term", "zzz"): 1}
 
 
+def test_common_prefix_of_any_length(spark):
+    t = spark.range(600).selectExpr("id", "concat(repeat('x', 10000), id) city")
+    assert count_terms(t, ["city"], "id").where("records = 1 and occurrences = 1").count() == 1200
+
+
 def test_marks(spark):
     t = spark.createDataFrame([("a", 0), ("b", 2), ("c", 3), ("d", 41)], "item string, records bigint")
     assert [r["mark"] for r in mark_terms(t, 1000).orderBy("item").collect()] == [None, "rare", None, "common"]
