@@ -54,6 +54,7 @@ class BurstTrie:
         self.limit = limit or BURST
         self.root = _Node()
         self.entries = self.chars = 0
+        self._last = ("", self.root)  # the path of the last container; neighbours in an order mostly share it
 
     def _reach(self, key: str) -> tuple[_Node, str]:
         """The node at or above the end of ``key`` that has a container, or ends where ``key`` does, and the rest of ``key``."""
@@ -75,7 +76,12 @@ class BurstTrie:
             node, at = kid, at + 1
 
     def add(self, key: str, counts: Sequence[int]) -> None:
-        node, rest = self._reach(key)
+        prefix, node = self._last
+        if node.kids is None and node is not self.root and key.startswith(prefix):
+            rest = key[len(prefix) :]
+        else:
+            node, rest = self._reach(key)
+            self._last = (key[: len(key) - len(rest)], node)
         old = node.held.get(rest)
         if old is None:
             node.held[rest] = list(counts)
@@ -95,6 +101,7 @@ class BurstTrie:
                 self.add(prefix + suffix, counts)
             return
         own = node.held
+        self._last = ("", self.root)
         if not own and not self.limit < len(held):
             node.label += rest
             node.held = dict(held)
@@ -180,8 +187,8 @@ def _count_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     rows = size = 0
 
     def add() -> None:
-        t = pa.Table.from_batches(held).group_by(["field", "item"]).aggregate([(f"c{i}", "sum") for i in range(_COUNTERS)])
-        counts = zip(*[t[f"c{i}_sum"].to_pylist() for i in range(_COUNTERS)])
+        t = pa.Table.from_batches(held).group_by(["field", "item"]).aggregate([(f"c{i}", "sum") for i in range(_COUNTERS)]).sort_by([("field", "ascending"), ("item", "ascending")])
+        counts = np.column_stack([t[f"c{i}_sum"].to_numpy() for i in range(_COUNTERS)]).tolist()
         for field, item, c in zip(t["field"].to_pylist(), t["item"].to_pylist(), counts):
             if field not in tries:
                 tries[field] = BurstTrie()
