@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from prepline.session import cut
 
-# Letters drawn like a Latin letter, each above the Latin letter it counts as.
+# Letters drawn like a Latin letter, each above the Latin letter it counts as. Held not to be drawn like
+# one, though public lists of confusable letters name them: the Cyrillic ге, ка, ве, те, мягкий знак (small ones differ
+# in height or strokes), the Greek gamma, kappa, sigma, tau, eta, omega. Compatibility forms such as the lunate sigma
+# count as the letter they are a form of. Other scripts (Armenian, Cherokee, Coptic, phonetic letters) stay.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХԚԜԌӀҮѴ" "аеѕіјорсухԛԝһԁӏүѵ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXQWGIYV" "aesijopcyxqwhdlyv"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿ" "νοραιϳ"
-GREEK_AS = "ABEZHIKMNOPTYXJ" "vopaij"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿϜϺ" "νοραιϳυ"
+GREEK_AS = "ABEZHIKMNOPTYXJFM" "vopaiju"
 # Hyphens (soft hyphens are without width, dashes and the minus sign are other characters).
 HYPHENS = "‐‑֊᐀⁃﹣-"
 # Characters without width that are no format characters.
@@ -197,23 +200,44 @@ def unify_text(df: DataFrame, text_col: str = "text", form_col: str = "form") ->
     return df.withColumn(form_col, one_form(F.col(f"`{text_col}`")))
 
 
-def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id_a, doc_id_b``: documents whose texts differ but have the same form, the smaller id first.
+def look_alike_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, class_id, text_id, n_links``: the documents that look like another one with a different text.
+
+    ``class_id`` is the smallest id of all documents that look the same, ``text_id`` the smallest of those with
+    exactly the document's text, ``n_links`` the number of documents of the class with another text. The table has
+    one row per document, however large its class; the pairs of ``text_id`` within a class stand for all others.
 
-    Null and blank texts (nothing but spaces and line breaks in their form) and null ids form no pairs; repeated
-    rows and ids give each pair once; texts may have any length; an empty table has no pairs; other columns are
-    ignored, whatever their names. Texts are compared by SHA-256. Only forms with two or more different texts go
-    on, and documents are joined through the pairs of those texts, so copies of one text never meet each other,
-    however many there are.
+    Null and blank texts (nothing but spaces and line breaks in their form) and null ids are in no class; repeated
+    rows count once; an id with several texts has a row for each; texts may have any length; an empty table has no
+    classes; other columns are ignored, whatever their names. Texts are compared by SHA-256. Copies are counted
+    before the shuffle, and only the sums of a class and text are joined, so a class may hold most of the rows.
     """
+    return _classes(df, id_col, text_col).drop("text_key")
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     formed = unify_text(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     # the form is used in one projection only, else it would be made once for each use
     keys = formed.select("doc_id", F.when(F.col("form").rlike(r"\S"), F.unhex(F.sha2("form", 256))).alias("form_key"), F.unhex(F.sha2("text", 256)).alias("text_key"))
-    keyed = cut(keys).where(F.col("form_key").isNotNull())
+    keyed = cut(keys).where(F.col("form_key").isNotNull() & F.col("doc_id").isNotNull())
     ends = keyed.groupBy("form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("form_key")
     mixed = keyed.join(ends, "form_key", "left_semi").distinct()
-    texts = mixed.select("form_key", "text_key").distinct()
-    pairs = texts.alias("x").join(texts.alias("y"), "form_key").where("x.text_key <> y.text_key").select(F.col("x.text_key").alias("text_a"), F.col("y.text_key").alias("text_b"))
-    a = mixed.select(F.col("doc_id").alias("doc_id_a"), F.col("text_key").alias("text_a"))
-    b = mixed.select(F.col("doc_id").alias("doc_id_b"), F.col("text_key").alias("text_b"))
+    texts = mixed.groupBy("form_key", "text_key").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("copies"))
+    classes = texts.groupBy("form_key").agg(F.min("text_id").alias("class_id"), F.sum("copies").alias("members"))
+    of_text = texts.join(classes, "form_key").select("text_key", "class_id", "text_id", (F.col("members") - F.col("copies")).alias("n_links"))
+    return mixed.join(of_text, "text_key").select("doc_id", "class_id", "text_id", "n_links", "text_key")
+
+
+def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id_a, doc_id_b``: documents whose texts differ but have the same form, the smaller id first.
+
+    The classes of ``look_alike_classes`` written out as pairs: as many rows as documents have partners, so use the
+    classes where copies abound. Documents are joined through the pairs of texts of their class, so copies of one
+    text never meet each other; each pair comes once. Defined cases are those of the classes.
+    """
+    classes = cut(_classes(df, id_col, text_col).select("doc_id", "class_id", "text_key"))
+    texts = classes.select("class_id", "text_key").distinct()
+    pairs = texts.alias("x").join(texts.alias("y"), "class_id").where("x.text_key <> y.text_key").select(F.col("x.text_key").alias("text_a"), F.col("y.text_key").alias("text_b"))
+    a = classes.select(F.col("doc_id").alias("doc_id_a"), F.col("text_key").alias("text_a"))
+    b = classes.select(F.col("doc_id").alias("doc_id_b"), F.col("text_key").alias("text_b"))
     return a.join(pairs, "text_a").join(b, "text_b").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepline.llm.encoding import encode_corpus
-from prepline.llm.forms import look_alike_pairs, unify_text
+from prepline.llm.forms import look_alike_classes, look_alike_pairs, unify_text
 from prepline.llm.mixing import mix_sources
 from prepline.llm.quantiles import build_sketches, merge_sketches, percentiles, rank_error
 from prepline.llm.sampling import sample_plans
@@ -148,6 +148,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(table(spark, d, "documents"))
 
 
+@registry.query()
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that looks like another one, with its class and the number of its links."""
+    return look_alike_classes(table(spark, d, "documents"))
+
+
 @registry.query()
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text in the common form."""

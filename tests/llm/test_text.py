@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from prepline.llm import forms
 from prepline.llm.bpe import DEFAULT_VOCABULARY, PATTERN, Encoder, PerfectHash, load_vocabulary
 from prepline.llm.encoding import encode_corpus, token_count
-from prepline.llm.forms import _one_form, look_alike_pairs, unify_text
-from prepline.llm.mixing import mix_sources, order_sources
+from prepline.llm.forms import _one_form, look_alike_classes, look_alike_pairs, unify_text
+from prepline.llm.mixing import mix_placed, mix_sources, order_sources
 
 
 @pytest.fixture(scope="module")
@@ -114,6 +114,22 @@ def test_look_alike_pairs(spark):
     assert look_alike_pairs(t.limit(0)).count() == 0
 
 
+def test_classes(spark):
+    rows = [(1, "top page"), (2, "tοp page"), (3, "top page"), (4, "top page"), (5, None), (6, " "), (7, " "), (8, "other"), (None, "tορ page"), (10, ""), (3, "top page"), (8, "οther")]
+    t = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' form", "1 class_id")
+    assert sorted(tuple(r) for r in look_alike_classes(t).collect()) == [(1, 1, 1, 1), (2, 1, 2, 3), (3, 1, 1, 1), (4, 1, 1, 1), (8, 8, 8, 1), (8, 8, 8, 1)]
+    several = spark.createDataFrame([(8, "other"), (8, "οther"), (9, "other")], "doc_id bigint, text string")
+    assert [tuple(r) for r in look_alike_pairs(several).collect()] == [(8, 9)]
+    assert look_alike_classes(t.limit(0)).count() == 0
+
+
+def test_a_class_of_most_rows(spark):
+    """Its classes are one row per document, where pairs would be 400 million."""
+    t = spark.range(40_000).selectExpr("id doc_id", "case when id % 2 = 0 then 'ｓame' else 'same' end text")
+    r = look_alike_classes(t).groupBy("class_id", "text_id", "n_links").count().orderBy("text_id").collect()
+    assert [tuple(x) for x in r] == [(0, 0, 20_000, 20_000), (0, 1, 20_000, 20_000)]
+
+
 def test_many_copies_of_one_text(spark):
     t = spark.range(30000).selectExpr("id doc_id", "case when id = 7 then 'ｓame' when id % 3 = 0 then 'same' else concat('t', id) end text")
     pairs = look_alike_pairs(t).collect()
@@ -140,7 +156,9 @@ def test_mix(spark):
     picks = mix.picks.collect()
     assert all(p["copies"] <= {"tiny": 3, "hot": 1, "b": 1, "c": 5}[p["source_name"]] for p in picks)
     for key, x in r.items():
-        assert x["picked_tokens"] == sum(sizes[p["doc_id"]] * p["copies"] for p in picks if (p["mix_id"], p["source_name"]) == key)
+        own = [p for p in picks if (p["mix_id"], p["source_name"]) == key]
+        assert x["picked_tokens"] == sum(sizes[p["doc_id"]] * p["copies"] for p in own)
+        assert x["picked_docs"] == sum(p["copies"] for p in own)
     if tokens["tiny"] < 60:
         assert {p["copies"] for p in picks if p["mix_id"] == 6} <= {1, 2}
     no_ids = mix_sources(docs.withColumn("doc_id", F.lit(None).cast("bigint")), targets).report.where("mix_id = 1 and source_name = 'hot'").first()
@@ -149,21 +167,36 @@ def test_mix(spark):
     assert mix_sources(docs, targets.limit(0)).report.count() == 0
 
 
+@pytest.mark.parametrize("size", [10**10, 3 * 10**9 + 1])
+def test_mix_of_huge_sources(spark, size):
+    """A source of some 1e14 tokens, placed by hand: blocks grow with it, so no line has a long array of them."""
+    placed = spark.range(10_000).selectExpr("id doc_id", "'big' source_name", f"{size} n_tokens", f"id * {size} start_token", "id place")
+    placed = placed.unionByName(spark.range(50).selectExpr("100000 + id doc_id", "'small' source_name", "3L n_tokens", "3 * id start_token", "id place"))
+    totals = placed.groupBy("source_name").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("source_docs"))
+    budget = 6_000 * size + 5
+    targets = mixes(spark, [(1, "big", 1.0, 1, budget), (2, "big", 1.0, 2, 2 * budget), (3, "big", 1.0, 1, size - 1), (4, "big", 1.0, 1, 4 * budget), (5, "small", 1.0, 2, 290)])
+    mix = mix_placed(placed, totals, targets)
+    r = {x["mix_id"]: (x["picked_tokens"], x["picked_docs"], x["short"]) for x in mix.report.collect()}
+    assert r == {1: (6_000 * size, 6_000, False), 2: (12_000 * size, 12_000, False), 3: (0, 0, False), 4: (10_000 * size, 10_000, True), 5: (288, 96, False)}
+    picks = {x["mix_id"]: (x["t"], x["c"]) for x in mix.picks.groupBy("mix_id").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t"), F.sum("copies").alias("c")).collect()}
+    assert picks == {k: v[:2] for k, v in r.items() if v[1]}
+
+
 def test_order_is_a_partition_of_the_source(spark, monkeypatch):
     from prepline.llm import mixing
 
     monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
     docs = spark.range(500).selectExpr("id doc_id", "if(id % 2 = 0, 'a', 'b') source", "repeat('x ', cast(id % 5 as int)) text")
     placed, totals = order_sources(docs)
-    for s, total in totals.collect():
-        rows = sorted((r["start_token"], r["n_tokens"]) for r in placed.where(f"source_name = '{s}'").collect())
+    for s, total, _ in totals.collect():
+        rows = sorted((r["start_token"], r["n_tokens"], r["place"]) for r in placed.where(f"source_name = '{s}'").collect())
         at = 0
-        for start, n in rows:
-            assert start == at
+        for i, (start, n, place) in enumerate(rows):
+            assert start == at and place == i
             at += n
         assert at == total
 
 
-@pytest.mark.parametrize("letter, latin", [("Ӏ", "I"), ("Ү", "Y"), ("ү", "y"), ("Ѵ", "V"), ("ѵ", "v"), ("Ϳ", "J"), ("ρ", "p"), ("α", "a"), ("ι", "i"), ("ϳ", "j"), ("ά", "á")])
+@pytest.mark.parametrize("letter, latin", [("Ӏ", "I"), ("Ү", "Y"), ("ү", "y"), ("Ѵ", "V"), ("ѵ", "v"), ("Ϳ", "J"), ("ρ", "p"), ("α", "a"), ("ι", "i"), ("ϳ", "j"), ("ά", "á"), ("υ", "u"), ("Ϝ", "F"), ("Ϻ", "M")])
 def test_rarer_look_alikes(letter, latin):
     assert _one_form(pa.array([f"x{letter}z"])).to_pylist() == [f"x{latin}z"]
