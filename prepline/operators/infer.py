@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +48,92 @@ def infer_by_var(df: DataFrame, threshold: float) -> list[str]:
     return [c for i, c in enumerate(cols) if r[i] is not None and r[i] < threshold]
 
 
+#: Columns up to which all pairs are aggregates of one plan; of more, tasks add up matrices.
+FEW_COLUMNS = 8
+#: Rows looked at for a value near which the sums of a column are made.
+SHIFT_ROWS = 1000
+#: Share of the sum of squares below which a variance is rounding error.
+NO_VARIANCE = 1e-12
+
+
+def number_matrix(columns: Sequence[pa.Array]) -> np.ndarray:
+    """Rows by columns; null is NaN."""
+    return np.column_stack([c.to_numpy(zero_copy_only=False).astype(float, copy=False) for c in columns])
+
+
+def as_numbers(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """Columns as doubles; what is one already is no expression, so that a wide frame is read column by column."""
+    kinds_ = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return [F.col(name(c)) if kinds_[c] == "double" else F.col(name(c)).cast("double").alias(c) for c in cols]
+
+
+def middle_values(numbers: DataFrame) -> np.ndarray:
+    """A value of each column from its first rows; sums of differences from it lose fewer digits, and of a constant none."""
+    first = numbers.limit(SHIFT_ROWS).toPandas().to_numpy(float)
+    middle = lambda v: np.sort(v)[len(v) // 2] if len(v) else 0.0
+    return np.array([middle(v[np.isfinite(v)]) for v in first.T])
+
+
+def _co_sums(shift: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per pair of columns: the sums of the task over rows that have both, with columns moved by ``shift``."""
+        d = len(shift)
+        n, x, xx, xy = (np.zeros((d, d)) for _ in range(4))  # [i, j]: rows with both, sums of i, of i * i and of i * j
+        for b in batches:
+            z = number_matrix(b.columns) - shift
+            known = np.isfinite(z)
+            if known.all():
+                n += len(z)
+                x += z.sum(0)[:, None]
+                xx += np.einsum("ij,ij->j", z, z)[:, None]
+            else:
+                z[~known] = 0.0
+                m = known.astype(float)
+                n += m.T @ m
+                x += z.T @ m
+                xx += (z * z).T @ m
+            xy += z.T @ z
+        i, j = np.triu_indices(d, 1)
+        for k in range(0, len(i), 100_000):
+            p, q = i[k : k + 100_000], j[k : k + 100_000]
+            yield pa.RecordBatch.from_pydict({"i": p.astype(np.int32), "j": q.astype(np.int32), "n": n[p, q], "x": x[p, q], "y": x[q, p], "xx": xx[p, q], "yy": xx[q, p], "xy": xy[p, q]})
+
+    return run
+
+
+def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Pearson correlations of all pairs of columns over the rows where both are finite; NaN with a constant column.
+
+    Each task adds up matrices of its rows and emits one row per pair, so the cost of the plan doesn't grow with the
+    pairs; there are no more tasks than cores, and only the correlations come to the driver. A few columns are one
+    aggregate in generated code instead.
+    """
+    d = len(cols)
+    out = np.full((d, d), np.nan)
+    at = [(i, j) for i in range(d) for j in range(i + 1, d)]
+    if not at:
+        return out
+    if d <= FEW_COLUMNS:
+        r = df.agg(*[safe_corr(name(cols[i]), name(cols[j])).alias(str(k)) for k, (i, j) in enumerate(at)]).first()
+        for (i, j), v in zip(at, r):
+            out[i, j] = out[j, i] = np.nan if v is None else v
+        return out
+    numbers = df.select(*as_numbers(df, cols))
+    shift = middle_values(numbers)
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    sums = numbers.coalesce(tasks).mapInArrow(_co_sums(shift), "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    pairs = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]).where("n > 0")
+    spread = lambda s, q: F.when(F.col(q) - F.col(s) * F.col(s) / F.col("n") > NO_VARIANCE * F.col(q), F.col(q) - F.col(s) * F.col(s) / F.col("n"))
+    r = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread("x", "xx") * spread("y", "yy"))
+    found = pairs.select("i", "j", r.alias("r")).where("r is not null").toPandas()
+    out[found["i"], found["j"]] = out[found["j"], found["i"]] = found["r"].clip(-1.0, 1.0)
+    return out
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, str], float]:
     """Pearson correlations of all pairs in one pass; NaN with a constant column."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    if not pairs:
-        return {}
-    r = df.agg(*[safe_corr(name(a), name(b)).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
-    return {p: float("nan") if r[i] is None else r[i] for i, p in enumerate(pairs)}
+    m = correlation_matrix(df, cols)
+    return {(a, b): float(m[i, j]) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j}
 
 
 def infer_highly_correlated(df: DataFrame, threshold: float = 0.8) -> DataFrame:
