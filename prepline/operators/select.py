@@ -376,7 +376,8 @@ def f_classif(df: DataFrame, target: str, cols: Sequence[str] | None = None) ->
     From ``class_moments`` of all columns; null, NaN and infinities take no part.
     """
     cols = _numeric(df, target, cols)
-    per = class_moments(df, target, cols)
+    # means near 0 keep the digits of their squares
+    per = class_moments(df, target, cols).withColumn("m", F.col("m") - F.avg("m").over(Window.partitionBy("feature")))
     rows = per.groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q")).collect()
     out = []
     for r in rows:
