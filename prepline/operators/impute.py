@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prepline.functions.safe import finite
 from prepline.functions.sqltext import lit, name
-from prepline.operators.quantiles import column_modes, column_quantiles
+from prepline.operators.quantiles import column_modes, column_quantiles, group_modes, group_quantiles, same
 from prepline.operators.schema import clean_strategy_str, get_numeric_cols
 from prepline.plans.steps import Step, lookup_step, recorded
 
@@ -17,9 +17,7 @@ from prepline.plans.steps import Step, lookup_step, recorded
 def _statistic(c: str, strategy: str) -> Column:
     """Aggregate that fills a column; NaN and infinities don't take part."""
     x = finite(name(c))
-    found = {"mean": F.avg, "avg": F.avg, "median": F.median, "max": F.max, "min": F.min}
-    if strategy == "mode":
-        return F.mode(name(c), True)
+    found = {"mean": F.avg, "avg": F.avg, "max": F.max, "min": F.min}
     if strategy not in found:
         raise ValueError(f"unknown strategy {strategy}")
     return found[strategy](x)
@@ -61,7 +59,13 @@ def hot_deck_impute(df: DataFrame, cols: Sequence[str], group_by: Sequence[str],
     if set(cols) & set(group_by):
         raise ValueError("a column can't be filled by itself")
     s = clean_strategy_str(strategy)
-    table = df.groupBy(*[name(g) for g in group_by]).agg(*[_statistic(c, s).alias(f"s{i}") for i, c in enumerate(cols)])
+    if s in ("median", "mode"):  # by counts of values, as a group may hold any share of the rows
+        table = df.select(*map(name, group_by)).distinct()
+        for i, c in enumerate(cols):
+            own = group_quantiles(df, group_by, [0.5], c).withColumnRenamed("q0", f"s{i}") if s == "median" else group_modes(df, group_by, F.col(name(c))).withColumnRenamed("mode", f"s{i}")
+            table = table.alias("a").join(own.alias("b"), same("a", "b", group_by), "left").select("a.*", f"s{i}")
+    else:
+        table = df.groupBy(*[name(g) for g in group_by]).agg(*[_statistic(c, s).alias(f"s{i}") for i, c in enumerate(cols)])
     new = {f"__fill{i}": f"s{i}" for i in range(len(cols))}
     fill = {c: f"COALESCE({name(c)}, __fill{i})" for i, c in enumerate(cols)}
     return [lookup_step(table, list(group_by), new), Step("with_columns", fill), Step("drop", list(new))]

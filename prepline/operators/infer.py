@@ -155,13 +155,31 @@ def infer_highly_correlated(df: DataFrame, threshold: float = 0.8) -> DataFrame:
 def unique_counts(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, tuple[int, int]]]:
     """Rows, and for each column the number of distinct values (null is one) and of nulls.
 
-    The columns are unpivoted as text and grouped once, so that not every column is expanded for itself.
+    The columns are unpivoted to slots of their kind (whole numbers, floating point, text) and grouped once, so that
+    not every column is expanded for itself and numbers stay numbers; -0.0 and 0.0 are one value.
     """
     if not cols:
         return df.count(), {}
-    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(name(c)).cast("string").alias("v")) if kinds(df)[c] != "list" else F.struct(F.lit(i).alias("c"), F.to_json(name(c)).alias("v")) for i, c in enumerate(cols)])
-    counts = df.select(F.inline(cells)).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.groupBy("c").agg(F.count(F.lit(1)).alias("d"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.sum("n").alias("n")).collect()
+    types, kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}, kinds(df)
+
+    def cell(i: int, c: str) -> Column:
+        x, t = F.col(name(c)), types[c]
+        l, d, s = (F.lit(None).cast(k) for k in ("bigint", "double", "string"))
+        if t in ("tinyint", "smallint", "int", "bigint", "boolean"):
+            l = x.cast("bigint")
+        elif t == "date":
+            l = F.unix_date(x).cast("bigint")
+        elif t == "timestamp":
+            l = F.unix_micros(x)
+        elif t in ("float", "double"):
+            d = x.cast("double")
+        else:
+            s = F.to_json(x) if kind[c] == "list" else x.cast("string")
+        return F.struct(F.lit(i).alias("c"), l.alias("l"), d.alias("d"), s.alias("s"))
+
+    counts = df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(cols)]))).groupBy("c", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("v", F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
+    rows = counts.groupBy("c").agg(F.count(F.lit(1)).alias("d"), F.sum(F.when(~F.col("v"), F.col("n")).otherwise(0)).alias("nulls"), F.sum("n").alias("n")).collect()
     by = {r["c"]: r for r in rows}
     return (rows[0]["n"] if rows else 0), {c: (by[i]["d"], by[i]["nulls"]) if i in by else (0, 0) for i, c in enumerate(cols)}
 

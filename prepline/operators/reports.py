@@ -13,7 +13,7 @@ from prepline.functions.safe import INF, NAN, fdiv, finite, is_invalid, safe_cor
 from prepline.functions.sqltext import name
 from prepline.operators.infer import category_counts, infer_discretes
 from prepline.operators.metrics import psi, psi_discrete
-from prepline.operators.quantiles import column_modes, column_quantiles, running
+from prepline.operators.quantiles import SortedCounts, column_modes, column_quantiles, group_modes, group_quantiles, running, same
 from prepline.operators.schema import get_numeric_cols, get_string_cols, kinds
 from prepline.operators.strings import time_buckets
 
@@ -74,40 +74,42 @@ def data_profile(df: DataFrame, percentiles: Sequence[float] = (0.25, 0.75), exc
     ``<q>-percentile``; text columns have null moments. NaN and infinities take part in min and max only, decimals
     count as doubles. Percentiles are exact, or approximate with an ``accuracy``.
 
-    Numbers are unpivoted and grouped by column, which keeps the aggregate in generated code however many columns
-    there are; only one row per column and task is shuffled. Text columns and percentiles, whose aggregates can't
-    be generated, are jobs of their own.
+    Numbers are unpivoted to counts of their values once; moments and percentiles are read off these sorted counts,
+    so no task holds the values of a column. Nulls and bounds of all columns are one aggregate.
     """
     k = kinds(df)
     cols = [c for c in df.columns if k[c] in ("numeric", "string", "bool") and c not in set(exclude)]
     numbers, texts = [c for c in cols if k[c] != "string"], [c for c in cols if k[c] == "string"]
     types = {f.name: f.dataType for f in df.schema.fields}
     qs = [0.5, *percentiles]
-    parts = []
-    fields = ["column", "dtype", "null_pct", "min", "max", "mean", "std", "skew", "kurtosis", "q"]
-    if numbers:
-        found = column_quantiles(df, numbers, qs, accuracy)
-        whole = {c: isinstance(types[c], (T.IntegralType, T.BooleanType)) for c in numbers}
-        cells = [F.struct(F.lit(i).alias("i"), F.col(name(c)).cast("double").alias("x"), F.when(F.lit(whole[c]), F.col(name(c)).cast("bigint")).alias("l")) for i, c in enumerate(numbers)]
-        y = finite("x")
-        aggs = {
-            "null_pct": F.avg(F.col("x").isNull().cast("double")), "a": F.min("x"), "b": F.max("x"), "la": F.min("l"), "lb": F.max("l"), "mean": F.avg(y), "std": F.stddev_samp(y),
-            "skew": F.skewness(y), "kurtosis": F.kurtosis(y),
-        }
-        long = df.select(F.inline(F.array(*cells))).groupBy("i").agg(*[v.alias(n) for n, v in aggs.items()])
-        # an empty frame has all columns too
-        known = df.sparkSession.createDataFrame([(i, c, types[c].simpleString(), found[c]) for i, c in enumerate(numbers)], "i int, column string, dtype string, q array<double>")
-        text = lambda x, l: F.when(F.col("dtype") == "boolean", (F.col(l) == 1).cast("string")).when(F.col("dtype") == "float", F.col(x).cast("float").cast("string")).otherwise(F.coalesce(F.col(l).cast("string"), F.col(x).cast("string")))
-        parts.append(known.join(long, "i", "left").select("column", "dtype", "null_pct", text("a", "la").alias("min"), text("b", "lb").alias("max"), "mean", "std", "skew", "kurtosis", "q"))
-    if texts:
-        wide = df.agg(*[a for i, c in enumerate(texts) for a in (F.avg(F.col(name(c)).isNull().cast("double")).alias(f"n{i}"), F.min(name(c)).alias(f"a{i}"), F.max(name(c)).alias(f"b{i}"))])
-        cells = [F.struct(F.lit(c).alias("column"), F.lit("string").alias("dtype"), F.col(f"n{i}").alias("null_pct"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max")) for i, c in enumerate(texts)]
-        none = F.lit(None).cast("double")
-        parts.append(wide.select(F.inline(F.array(*cells))).select("column", "dtype", "null_pct", "min", "max", *[none.alias(n) for n in ("mean", "std", "skew", "kurtosis")], F.lit(None).cast("array<double>").alias("q")))
-    long = functools.reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], ", ".join(f"{f} {'string' if f in ('column', 'dtype', 'min', 'max') else 'array<double>' if f == 'q' else 'double'}" for f in fields))
+    rows: list[tuple] = []
+    if cols:
+        # bounds and nulls keep the columns' own types; a few numbers per column come to the driver
+        wide = df.agg(F.count(F.lit(1)).alias("n"), *[a for i, c in enumerate(cols) for a in (F.count(name(c)).alias(f"c{i}"), F.min(name(c)).cast("string").alias(f"a{i}"), F.max(name(c)).cast("string").alias(f"b{i}"))], *[F.avg(finite(name(c))).alias(f"m{i}") for i, c in enumerate(numbers)]).first()
+        q, m = _approximate(df, numbers, qs, accuracy) if accuracy is not None else _exact(df, numbers, qs, [wide[f"m{i}"] for i in range(len(numbers))])
+        none = (None,) * 4
+        for c in [*numbers, *texts]:
+            i = cols.index(c)
+            rows.append((c, types[c].simpleString(), (wide["n"] - wide[f"c{i}"]) / wide["n"] if wide["n"] else None, wide[f"a{i}"], wide[f"b{i}"], *m.get(c, none), q.get(c)))
+    long = df.sparkSession.createDataFrame(rows, "column string, dtype string, null_pct double, min string, max string, mean double, std double, skew double, kurtosis double, q array<double>")
     return long.select("column", "dtype", "null_pct", "min", "max", "mean", "std", F.get("q", F.lit(0)).alias("median"), "skew", "kurtosis", *[F.get("q", F.lit(j + 1)).alias(f"{q * 100:.1f}-percentile") for j, q in enumerate(percentiles)])
 
 
+def _exact(df: DataFrame, numbers: Sequence[str], qs: Sequence[float], centers: Sequence[float]) -> tuple[dict, dict]:
+    if not numbers:
+        return {}, {}
+    counts = SortedCounts(df, numbers, centers)
+    return counts.quantiles(qs), counts.moments()
+
+
+def _approximate(df: DataFrame, numbers: Sequence[str], qs: Sequence[float], accuracy: int) -> tuple[dict, dict]:
+    if not numbers:
+        return {}, {}
+    cells = [F.struct(F.lit(i).alias("i"), finite(name(c)).alias("x")) for i, c in enumerate(numbers)]
+    found = df.select(F.inline(F.array(*cells))).groupBy("i").agg(F.avg("x"), F.stddev_samp("x"), F.skewness("x"), F.kurtosis("x")).collect()
+    return column_quantiles(df, numbers, qs, accuracy), {numbers[r["i"]]: tuple(r)[1:] for r in found}
+
+
 def str_meta_report(df: DataFrame, cols: Sequence[str] | None = None, words_to_count: Sequence[str] | None = None) -> DataFrame:
     """One row per text column: nulls, min, max, mode, byte lengths, average counts of character classes, words."""
     cols = list(cols or get_string_cols(df))
@@ -150,11 +152,16 @@ def over_time_report(df: DataFrame, time_col: str, cols: Sequence[str] | None =
     cols = [c for c in (cols or get_numeric_cols(df)) if c != time_col]
     make = {
         "null": lambda x: F.avg(x.isNull().cast("double")), "invalid": lambda x: F.avg(is_invalid(x).cast("double")), "max": F.max, "min": F.min, "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp,
-        "mode": lambda x: F.mode(x + 0, True),  # makes -0.0 and 0.0 one value
     }
     wanted = [metrics] if isinstance(metrics, str) else list(metrics)
-    aggs = [make[m](F.col(name(c))).alias(f"{c}_{m}{'%' if m in ('null', 'invalid') else ''}") for c in cols for m in wanted]
-    return df.groupBy(*[F.expr(v).alias(k) for k, v in buckets.items()]).agg(*aggs).orderBy(*buckets)
+    label = lambda c, m: f"{c}_{m}{'%' if m in ('null', 'invalid') else ''}"
+    keys = [f"__{k}" for k in buckets]
+    timed = df.withColumns({f"__{k}": F.expr(v) for k, v in buckets.items()})
+    out = timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[make[m](F.col(name(c))).alias(label(c, m)) for c in cols for m in wanted if m != "mode"])
+    for c in cols if "mode" in wanted else []:
+        modes = group_modes(timed, keys, F.col(name(c)) + 0).withColumnRenamed("mode", label(c, "mode"))  # makes -0.0 and 0.0 one value
+        out = out.alias("a").join(modes.alias("b"), same("a", "b", keys), "left").select("a.*", F.col(f"b.{name(label(c, 'mode'))}"))
+    return out.select(*[F.col(f"__{k}").alias(k) for k in buckets], *[name(label(c, m)) for c in cols for m in wanted]).orderBy(*buckets)
 
 
 def over_time_report_num(df: DataFrame, time_col: str, cols: Sequence[str] | None = None, interval: str = "monthly") -> DataFrame:
@@ -167,8 +174,9 @@ def over_time_report_num(df: DataFrame, time_col: str, cols: Sequence[str] | Non
     cols = [c for c in (cols or get_numeric_cols(df)) if c != time_col]
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(name(c)).cast("double").alias("x")) for c in cols])
     long = df.select(*[F.expr(v).alias(k) for k, v in buckets.items()], F.inline(cells))
-    q = F.percentile("x", F.array(F.lit(0.05), F.lit(0.95)))
-    per = long.groupBy("feature", *buckets).agg(F.count(F.lit(1)).alias("count"), q.alias("q"), F.avg(F.col("x").isNull().cast("double")).alias("null%"), F.avg("x").alias("mean"))
+    keys = ["feature", *buckets]
+    per = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.avg(F.col("x").isNull().cast("double")).alias("null%"), F.avg("x").alias("mean"))
+    per = per.alias("a").join(group_quantiles(long, keys, [0.05, 0.95]).alias("b"), same("a", "b", keys), "left").select("a.*", "q0", "q1")
     overall = df.agg(*[a for i, c in enumerate(cols) for a in (F.avg(F.col(name(c)).isNull().cast("double")).alias(f"n{i}"), F.avg(F.col(name(c)).cast("double")).alias(f"m{i}"))]).select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("all_null"), F.col(f"m{i}").alias("all_mean")) for i, c in enumerate(cols)]))
     )
@@ -178,7 +186,7 @@ def over_time_report_num(df: DataFrame, time_col: str, cols: Sequence[str] | Non
     last_share, last_mean = F.lag(share).over(w), F.last("mean", True).over(before)
     to_inf = lambda x: F.when(F.isnan(x), INF).otherwise(x)
     return per.join(overall, "feature").select(
-        "feature", *buckets, "count", F.col("q")[0].alias("5%_quantile"), F.col("q")[1].alias("95%_quantile"), "null%", "mean",
+        "feature", *buckets, "count", F.col("q0").alias("5%_quantile"), F.col("q1").alias("95%_quantile"), "null%", "mean",
         F.when(share == 0, F.when(last_share == 0, 0.0).otherwise(NAN)).otherwise(fdiv(share, last_share) - 1).alias("null_PoP_%chg"),
         to_inf(fdiv(mean, last_mean) - 1).alias("mean_PoP_%diff"),
         F.when(F.col("all_null") == 0, F.when(share == 0, 0.0).otherwise(NAN)).otherwise(fdiv(share, F.col("all_null")) - 1).alias("null_%chg_overall"),

@@ -11,24 +11,21 @@ from pyspark.sql import functions as F
 
 from prepline.functions.safe import finite, ratio_sql
 from prepline.functions.sqltext import lit, name
-from prepline.operators.quantiles import column_quantiles
+from prepline.operators.quantiles import column_quantiles, group_quantiles
 from prepline.operators.schema import clean_strategy_str
 from prepline.plans.steps import Step, lookup_step, recorded
 
 
-def _fitted(strategy: str, qcuts: Sequence[float], ddof: int, c: str) -> list:
-    """Aggregates (center, width) of a strategy."""
+def _fitted(strategy: str, ddof: int, c: str) -> list:
+    """Aggregates (center, width) of a strategy that needs no quantiles."""
     x = finite(name(c))
     zero = F.lit(0.0)
-    q = lambda p: F.percentile(x, F.lit(p))
     found = {
         "standard": lambda: [F.avg(x), F.stddev_pop(x) if ddof == 0 else F.stddev_samp(x)],
         "min_max": lambda: [F.min(x), F.max(x) - F.min(x)],
-        "robust": lambda: [q(qcuts[1]), q(qcuts[2]) - q(qcuts[0])],
         "max_abs": lambda: [zero, F.greatest(F.abs(F.max(x)), F.abs(F.min(x)))],
         "abs_max": lambda: [zero, F.greatest(F.abs(F.max(x)), F.abs(F.min(x)))],
         "mean": lambda: [zero, F.avg(x)],
-        "median": lambda: [zero, F.median(x)],
         "max": lambda: [zero, F.max(x)],
     }
     if strategy not in found:
@@ -45,11 +42,11 @@ def scale(df: DataFrame, cols: Sequence[str], strategy: str = "standard", const:
     s = clean_strategy_str(strategy)
     if s in ("const", "constant"):
         return [Step("with_columns", {c: ratio_sql(name(c), lit(float(const))) for c in cols})]
-    if s == "robust":
-        q = column_quantiles(df, cols, qcuts)
-        r = [v for c in cols for v in ((q[c][1], q[c][2] - q[c][0]) if q[c] else (None, None))]
+    if s in ("robust", "median"):
+        q = column_quantiles(df, cols, qcuts if s == "robust" else [0.5])
+        r = [v for c in cols for v in ((None, None) if not q[c] else (q[c][1], q[c][2] - q[c][0]) if s == "robust" else (0.0, q[c][0]))]
     else:
-        r = df.agg(*[a.alias(f"{i}{k}") for i, c in enumerate(cols) for k, a in enumerate(_fitted(s, qcuts, 0, c))]).first() if cols else []
+        r = df.agg(*[a.alias(f"{i}{k}") for i, c in enumerate(cols) for k, a in enumerate(_fitted(s, 0, c))]).first() if cols else []
     return [Step("with_columns", {c: ratio_sql(f"({name(c)} - {lit(r[2 * i])})", lit(r[2 * i + 1])) for i, c in enumerate(cols)})]
 
 
@@ -57,8 +54,13 @@ def scale(df: DataFrame, cols: Sequence[str], strategy: str = "standard", const:
 def scale_by(df: DataFrame, c: str, by: Sequence[str] | str, strategy: str = "standard", qcuts: Sequence[float] = (0.25, 0.5, 0.75)) -> list[Step]:
     """Scales a column inside each segment (standard with the sample deviation); unknown segments give null."""
     keys = [by] if isinstance(by, str) else list(by)
-    center, width = _fitted(clean_strategy_str(strategy), qcuts, 1, c)
-    table = df.groupBy(*[name(k) for k in keys]).agg(center.alias("a"), width.alias("b"))
+    s = clean_strategy_str(strategy)
+    if s in ("robust", "median"):  # by sorted counts, as a segment may hold any share of the rows
+        q = group_quantiles(df, keys, qcuts if s == "robust" else [0.5], c)
+        table = q.select(*map(name, keys), *([F.col("q1").alias("a"), (F.col("q2") - F.col("q0")).alias("b")] if s == "robust" else [F.lit(0.0).alias("a"), F.col("q0").alias("b")]))
+    else:
+        center, width = _fitted(s, 1, c)
+        table = df.groupBy(*[name(k) for k in keys]).agg(center.alias("a"), width.alias("b"))
     return [lookup_step(table, keys, {"__center": "a", "__width": "b"}), Step("with_columns", {c: ratio_sql(f"({name(c)} - __center)", "__width")}), Step("drop", ["__center", "__width"])]
 
 

@@ -400,10 +400,9 @@ def _ks_table(long: DataFrame) -> DataFrame:
     Counts of distinct values are summed up over ranges of values of all features together.
     """
     counts = long.where("x is not null").groupBy("feature", "x").agg(F.sum("side").alias("a"), F.sum(1 - F.col("side")).alias("b"))
-    cum = running(counts, ["x"], {"ca": "a", "cb": "b"}, ["feature"])
-    totals = cum.groupBy("feature").agg(F.max("ca").alias("n1"), F.max("cb").alias("n0"))
-    gap = F.abs(fdiv(F.col("ca"), F.col("n1")) - fdiv(F.col("cb"), F.col("n0")))
-    return cum.join(totals, "feature").groupBy("feature").agg(F.max(gap).alias("ks"), F.max("n1").alias("n1"), F.max("n0").alias("n0"))
+    cum = running(counts, ["x"], {"ca": "a", "cb": "b"}, ["feature"], totals=True)
+    gap = F.abs(fdiv(F.col("ca"), F.col("ca_total")) - fdiv(F.col("cb"), F.col("cb_total")))
+    return cum.groupBy("feature").agg(F.max(gap).alias("ks"), F.max("ca_total").alias("n1"), F.max("cb_total").alias("n0"))
 
 
 def _with_p(table: DataFrame) -> DataFrame:
@@ -450,11 +449,10 @@ def _one_sample(df: DataFrame, exprs: dict[str, Column], which: str) -> DataFram
     if which not in _CDF:
         raise ValueError(f"unknown distribution {which}; known: {', '.join(_CDF)}")
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), x.alias("x")) for c, x in exprs.items()])
-    cum = cumulative_counts(df.select(F.inline(cells))).withColumnRenamed("upto", "c")
-    cum = cum.join(cum.groupBy("feature").agg(F.max("c").alias("all")), "feature")
+    cum = cumulative_counts(df.select(F.inline(cells)))
     f = _CDF[which](F.col("x"))
-    ks = F.greatest(F.col("c") / F.col("all") - f, f - (F.col("c") - F.col("n")) / F.col("all"))
-    rows = [(r["feature"], r["ks"], ks_p_value(r["ks"], r["n"])) for r in cum.groupBy("feature").agg(F.max(ks).alias("ks"), F.max("all").alias("n")).collect()]
+    ks = F.greatest(F.col("upto") / F.col("upto_total") - f, f - (F.col("upto") - F.col("n")) / F.col("upto_total"))
+    rows = [(r["feature"], r["ks"], ks_p_value(r["ks"], r["n"])) for r in cum.groupBy("feature").agg(F.max(ks).alias("ks"), F.max("upto_total").alias("n")).collect()]
     return df.sparkSession.createDataFrame(rows, "feature string, ks double, p_value double")
 
 

@@ -348,11 +348,33 @@ def test_large_frames_give_the_same_quantiles(spark, monkeypatch):
     assert large["b"] is None and small["b"] is None
     for c in "ac":
         assert large[c] == pytest.approx(small[c])
-    before = values(reports.data_profile(t))
-    monkeypatch.setattr(quantiles, "SORTED_FROM", 0)
-    assert quantiles.is_large(t)
-    for x, y in zip(before, values(reports.data_profile(t))):
-        assert [v if isinstance(v, str) or v is None else pytest.approx(v) for v in x] == list(y)
+    monkeypatch.setattr(quantiles, "FEW_CELLS", 0)
+    assert quantiles.column_quantiles(t, ["a"], shares)["a"] == large["a"]
+    assert quantiles.is_few(t, 997) and not quantiles.is_few(t, 996)
+    r = {x["column"]: x for x in reports.data_profile(t).collect()}
+    for c in "ac":
+        want = t.agg(F.avg(c), F.stddev_samp(c), F.skewness(c), F.kurtosis(c), F.median(c)).first()
+        assert [r[c][k] for k in ("mean", "std", "skew", "kurtosis", "median")] == [pytest.approx(v) for v in want]
+    assert r["b"]["mean"] is None and r["b"]["null_pct"] == 1 and r["s"]["min"] == "s"
+    assert reports.data_profile(t.limit(0)).count() == 4
+
+
+def test_group_statistics_keep_null_groups(spark):
+    from prepline.operators import quantiles
+
+    t = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("h"), F.pmod(F.xxhash64("id"), F.lit(40)).cast("double").alias("x"))
+    t = t.withColumn("x", F.when(F.col("x") == 3, float("nan")).when(F.col("x") > 4, F.col("x")))
+    for keys in (["g"], ["g", "h"]):
+        key = lambda r, keys=keys: tuple(r[k] for k in keys)
+        clean = t.where("not isnan(x)")
+        want = {key(r): [r["a"], r["b"], r["m"]] for r in clean.groupBy(*keys).agg(F.percentile("x", F.lit(0.3)).alias("a"), F.median("x").alias("b"), F.mode("x", True).alias("m")).collect()}
+        q = {key(r): [r["q0"], r["q1"]] for r in quantiles.group_quantiles(t, keys, [0.3, 0.5]).collect()}
+        m = {key(r): r["mode"] for r in quantiles.group_modes(clean, keys, F.col("x")).collect()}
+        assert {k: [pytest.approx(q[k][0]), q[k][1], m[k]] for k in q} == want
+        scaled = scale.scale_by(t, "x", keys, "median")
+        assert scaled.where("x is not null and not isnan(x)").count() == clean.where("x is not null").count()
+        filled = impute.hot_deck_impute(t, ["x"], keys, "median")
+        assert filled.where("x is null").count() == 0
 
 
 def test_order_and_rename(spark):
