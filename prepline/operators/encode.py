@@ -15,10 +15,13 @@ from prepline.functions.sqltext import lit, name, number
 from prepline.operators.infer import category_counts, infer_binary
 from prepline.operators.quantiles import column_quantiles
 from prepline.operators.schema import get_string_cols
-from prepline.plans.steps import Step, lookup_step, recorded
+from prepline.operators.sample import row_numbers
+from prepline.plans.steps import KEPT, Step, lookup_step, recorded
 
-#: Columns an encoder that makes one column per category may make for one column.
+#: Columns (or branches of an expression) that an encoder may make for one column unless it is told otherwise.
 MAX_FLAGS = 1000
+#: Infrequent categories that are named in an expression; more are looked up in a table.
+NAMED = 200
 
 
 def _categories(df: DataFrame, cols: Sequence[str], limit: int = MAX_FLAGS, with_null: bool = False) -> dict[str, list]:
@@ -35,16 +38,6 @@ def _categories(df: DataFrame, cols: Sequence[str], limit: int = MAX_FLAGS, with
     return out
 
 
-def _text_categories(df: DataFrame, cols: Sequence[str], limit: int = MAX_FLAGS) -> dict[str, list[str]]:
-    """The same of text columns, in one grouped pass over all of them."""
-    if not cols:
-        return {}
-    seen = category_counts(df, cols).where("category is not null").limit(limit * len(cols) + 1).collect()
-    if len(seen) > limit * len(cols):
-        raise ValueError(f"the columns have more than {limit} categories on average")
-    return {c: sorted(r["category"] for r in seen if r["feature"] == c) for c in cols}
-
-
 @recorded
 def feature_mapping(df: DataFrame, mapping: Mapping[str, Mapping[Any, Any]] | Mapping[str, str]) -> list[Step]:
     """Replaces values by dictionaries (others stay), or columns by SQL expressions."""
@@ -65,13 +58,22 @@ def merge_categories(df: DataFrame, merge_what: Mapping[str, Sequence[str]], sep
 
 @recorded
 def merge_infreq_categories(df: DataFrame, cols: Sequence[str], min_count: int = 10, min_frac: float | None = None, separator: str = "|") -> list[Step]:
-    """Categories below the minimum become one, named by all of them in order, where there are at least two."""
+    """Categories below the minimum become one, named by all of them in order, where there are at least two.
+
+    Any number of them: many are looked up in a table, and only the name they share comes to the driver.
+    """
     least = min_count if min_frac is None else min_frac * df.count()
-    rare = category_counts(df, cols).where((F.col("n") < least) & F.col("category").isNotNull()).limit(MAX_FLAGS * len(cols) + 1).collect()
-    if len(rare) > MAX_FLAGS * len(cols):
-        raise ValueError("too many infrequent categories to name")
-    by = {c: sorted(r["category"] for r in rare if r["feature"] == c) for c in cols}
-    return merge_categories.fit(df, {c: v for c, v in by.items() if len(v) > 1}, separator)
+    rare = category_counts(df, cols).where((F.col("n") < least) & F.col("category").isNotNull())
+    kept = F.sort_array(F.collect_list("category"))
+    found = rare.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) <= NAMED, kept).alias("own"), F.array_join(kept, separator).alias("name")).where("n > 1").collect()
+    steps = []
+    for r in sorted(found, key=lambda r: list(cols).index(r["feature"])):
+        c = r["feature"]
+        if r["own"] is not None:
+            steps += merge_categories.fit(df, {c: r["own"]}, separator)
+        else:
+            steps += [lookup_step(rare.where(F.col("feature") == c).select(F.col("category").alias(c), F.lit(True).alias("__hit")), [c], {"__rare": "__hit"}), Step("with_columns", {c: f"CASE WHEN __rare THEN {lit(r['name'])} ELSE {name(c)} END"}), Step("drop", ["__rare"])]
+    return steps
 
 
 def _flags(c: str, values: Sequence[Any], separator: str) -> dict[str, str]:
@@ -79,10 +81,13 @@ def _flags(c: str, values: Sequence[Any], separator: str) -> dict[str, str]:
 
 
 @recorded
-def one_hot_encode(df: DataFrame, cols: Sequence[str] | None = None, separator: str = "_", drop_first: bool = False) -> list[Step]:
-    """A 0/1 column for each category in order; null is 0 everywhere; columns with fewer than two categories are dropped."""
+def one_hot_encode(df: DataFrame, cols: Sequence[str] | None = None, separator: str = "_", drop_first: bool = False, max_flags: int = MAX_FLAGS) -> list[Step]:
+    """A 0/1 column for each category in order; null is 0 everywhere; columns with fewer than two categories are dropped.
+
+    A column with more than ``max_flags`` categories raises instead of making so many columns.
+    """
     cols = list(cols or get_string_cols(df))
-    found = _categories(df, cols)
+    found = _categories(df, cols, max_flags)
     new = {k: v for c in cols if len(found[c]) > 1 for k, v in _flags(c, found[c][1 if drop_first else 0 :], separator).items()}
     return [Step("with_columns", new), Step("drop", cols)]
 
@@ -103,11 +108,11 @@ def selective_one_hot_encode(df: DataFrame, selected: Mapping[str, Sequence[Any]
 
 
 @recorded
-def sum_encode(df: DataFrame, cols: Sequence[str] | None = None, separator: str = "_") -> list[Step]:
+def sum_encode(df: DataFrame, cols: Sequence[str] | None = None, separator: str = "_", max_flags: int = MAX_FLAGS) -> list[Step]:
     """One column for each category but the first: 1 for it, -1 for the first, else 0; null stays null."""
     cols = list(cols or get_string_cols(df))
     new = {}
-    for c, values in _categories(df, cols).items():
+    for c, values in _categories(df, cols, max_flags).items():
         new |= {f"{c}{separator}{v}": f"CAST(CASE WHEN {name(c)} = {lit(v)} THEN 1 WHEN {name(c)} = {lit(values[0])} THEN -1 WHEN {name(c)} IS NOT NULL THEN 0 END AS TINYINT)" for v in values[1:]}
     return [Step("with_columns", new), Step("drop", cols)]
 
@@ -131,29 +136,36 @@ def force_binary(df: DataFrame, cols: Sequence[str] | None = None) -> list[Step]
 
 
 @recorded
-def multicat_one_hot_encode(df: DataFrame, cols: Sequence[str] | None = None, delimiter: str = "|", drop_first: bool = True) -> list[Step]:
+def multicat_one_hot_encode(df: DataFrame, cols: Sequence[str] | None = None, delimiter: str = "|", drop_first: bool = True, max_flags: int = MAX_FLAGS) -> list[Step]:
     """A 0/1 column for each token of delimited texts; tokens count as a whole."""
     cols = list(cols or get_string_cols(df))
     split = lambda c: f"SPLIT({name(c)}, {lit(re.escape(delimiter))})"
     new = {}
     for c in cols:
-        tokens = _categories(df.select(F.explode(F.expr(split(c))).alias("t")), ["t"])["t"]
+        tokens = _categories(df.select(F.explode(F.expr(split(c))).alias("t")), ["t"], max_flags)["t"]
         new |= {f"{c}_{t}": f"CAST(COALESCE(ARRAY_CONTAINS({split(c)}, {lit(t)}), FALSE) AS TINYINT)" for t in tokens[1 if drop_first else 0 :]}
     return [Step("with_columns", new), Step("drop", cols)]
 
 
 @recorded
 def ordinal_auto_encode(df: DataFrame, cols: Sequence[str] | None = None, descending: bool = False, exclude: Sequence[str] = ()) -> list[Step]:
-    """The place of each value among the sorted distinct ones; null, if there is one, is the lowest."""
-    cols = [c for c in (cols or get_string_cols(df)) if c not in set(exclude or ())]
-    found = _categories(df, cols, limit=100_000, with_null=True)
-    spark = df.sparkSession
+    """The place of each value among the sorted distinct ones; null, if there is one, is the lowest.
+
+    Columns of many values are numbered in ranges and looked up in a table.
+    """
     steps = []
-    for c, values in found.items():
-        order = values[::-1] if descending else values
-        kind = df.schema[c].dataType.simpleString()
-        table = spark.createDataFrame([(v, i) for i, v in enumerate(order)], f"{name(c)} {kind}, v int")
-        steps.append(lookup_step(table, [c], {c: "v"}))
+    for c in [c for c in (cols or get_string_cols(df)) if c not in set(exclude or ())]:
+        values = df.select(F.col(name(c))).distinct()
+        head = [r[0] for r in values.limit(KEPT + 1).collect()]
+        if len(head) <= KEPT:
+            order = sorted((v for v in head if v is not None), reverse=descending)
+            order = order + [None] * (None in head) if descending else [None] * (None in head) + order
+            table = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(order)], f"{name(c)} {df.schema[c].dataType.simpleString()}, __v int")
+        else:
+            numbered = row_numbers(values, [c], "__r")
+            place = F.lit(numbered.count()) - F.col("__r") if descending else F.col("__r") - 1
+            table = numbered.select(name(c), place.cast("int").alias("__v"))
+        steps.append(lookup_step(table, [c], {c: "__v"}))
     return steps
 
 
@@ -181,7 +193,7 @@ def target_counts(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
 
 def _per_column(df: DataFrame, table: DataFrame, cols: Sequence[str], default: float | None) -> list[Step]:
     """Lookups of ``feature, value, v`` for each column."""
-    return [lookup_step(table.where(F.col("feature") == c).select(F.col("value").cast(df.schema[c].dataType).alias(c), "v"), [c], {c: "v"}, {c: default}) for c in cols]
+    return [lookup_step(table.where(F.col("feature") == c).select(F.col("value").cast(df.schema[c].dataType).alias(c), F.col("v").alias("__v")), [c], {c: "__v"}, {c: default}) for c in cols]
 
 
 def smoothed_target(df: DataFrame, target: str, cols: Sequence[str], min_samples_leaf: int = 20, smoothing: float = 10.0) -> DataFrame:
@@ -232,15 +244,15 @@ def custom_binning(df: DataFrame, cols: Sequence[str], cuts: Sequence[float], su
 
 
 @recorded
-def fixed_sized_binning(df: DataFrame, cols: Sequence[str], interval: float, suffix: str = "") -> list[Step]:
+def fixed_sized_binning(df: DataFrame, cols: Sequence[str], interval: float, suffix: str = "", max_bins: int = MAX_FLAGS) -> list[Step]:
     """Intervals of one size from the minimum on, up to the first cut at or above the maximum."""
     r = df.agg(*[a.alias(f"{i}{k}") for i, c in enumerate(cols) for k, a in enumerate((F.min(finite(name(c))), F.max(finite(name(c)))))]).first()
     new = {}
     for i, c in enumerate(cols):
         low, high = r[2 * i], r[2 * i + 1]
         n = 0 if low is None else math.floor((high - low) / interval) + 2
-        if n > MAX_FLAGS:
-            raise ValueError(f"{c} needs more than {MAX_FLAGS} intervals")
+        if n > max_bins:
+            raise ValueError(f"{c} needs more than {max_bins} intervals")
         new[c + suffix] = interval_sql(name(c), [low + k * interval for k in range(n)])
     return [Step("with_columns", new)]
 
@@ -252,9 +264,9 @@ def quantile_binning(df: DataFrame, cols: Sequence[str], n_bins: int, suffix: st
     return [Step("with_columns", {c + suffix: interval_sql(name(c), q[c] or []) for c in cols})]
 
 
-def format_categorical_target(df: DataFrame, target: str) -> tuple[DataFrame, dict[Any, int]]:
+def format_categorical_target(df: DataFrame, target: str, max_values: int = MAX_FLAGS) -> tuple[DataFrame, dict[Any, int]]:
     """The sorted distinct values of the target become 0 .. n - 1; returns the frame and the mapping."""
-    values = _categories(df, [target])[target]
+    values = _categories(df, [target], max_values)[target]
     mapping = {v: i for i, v in enumerate(values)}
     return df.withColumn(target, F.expr(f"CASE {' '.join(f'WHEN {name(target)} = {lit(v)} THEN {i}' for v, i in mapping.items())} END")), mapping
 
@@ -266,7 +278,7 @@ def sparse_to_dense_target(df: DataFrame, target: str) -> list[Step]:
 
 
 @recorded
-def dense_to_sparse_target(df: DataFrame, target: str) -> list[Step]:
+def dense_to_sparse_target(df: DataFrame, target: str, max_values: int = MAX_FLAGS) -> list[Step]:
     """A unit vector over the sorted distinct values."""
-    values = _categories(df, [target])[target]
+    values = _categories(df, [target], max_values)[target]
     return [Step("with_columns", {target: f"ARRAY({', '.join(f'CAST({name(target)} = {lit(v)} AS INT)' for v in values)})"})]

@@ -5,13 +5,13 @@ from __future__ import annotations
 import copy
 import datetime
 import json
-import os
 from collections.abc import Callable, Iterable
 from dataclasses import asdict
 from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prepline.plans.steps import Step, apply_steps
 
@@ -100,24 +100,24 @@ class Pipeline:
     def deep_copy(self) -> Pipeline:
         return Pipeline(self.frame, copy.deepcopy(self.steps))
 
-    def save(self, folder: str, spark=None) -> None:
-        """Writes ``steps.json`` and copies of large lookup tables into ``folder``."""
-        os.makedirs(folder, exist_ok=True)
+    def save(self, folder: str, spark: SparkSession | None = None) -> None:
+        """Writes the steps and copies of large lookup tables below ``folder``, on any file system Spark writes to."""
+        session = spark or (self.frame.sparkSession if self.frame is not None else SparkSession.active())
         out = []
         for i, s in enumerate(self.steps):
             d = asdict(s)
             if s.action == "lookup" and "path" in s.content:
-                session = spark or self.frame.sparkSession
-                session.read.parquet(s.content["path"]).write.mode("overwrite").parquet(at := os.path.join(folder, f"lookup_{i}"))
+                if (at := f"{folder.rstrip('/')}/lookup_{i}") != s.content["path"]:
+                    session.read.parquet(s.content["path"]).write.mode("overwrite").parquet(at)
                 d["content"] = s.content | {"path": at}
             out.append(d)
-        with open(os.path.join(folder, "steps.json"), "w") as f:
-            json.dump(out, f, default=_plain, indent=1)
+        text = json.dumps(out, default=_plain)  # one line
+        session.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}/steps")
 
     @staticmethod
-    def load(folder: str) -> Pipeline:
-        with open(os.path.join(folder, "steps.json")) as f:
-            raw = json.load(f, object_hook=_typed)
+    def load(folder: str, spark: SparkSession | None = None) -> Pipeline:
+        text = (spark or SparkSession.active()).read.text(f"{folder.rstrip('/')}/steps").first()
+        raw = json.loads(text["value"], object_hook=_typed) if text else None
         if not isinstance(raw, list) or any(set(r) != {"action", "content", "label"} for r in raw):
             raise ValueError(f"{folder} holds no pipeline")
         return Pipeline(steps=[Step(**r) for r in raw])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from prepline.operators import scale as Z
 from prepline.operators import select as X
 from prepline.plans import Pipeline
 from prepline.queries.base import KEYS, Queries
+from prepline.session import shared_folder
 
 registry = Queries()
 on = registry.on
@@ -99,9 +100,9 @@ on("houses", "suggest_hyperparams", lambda t: L.suggest_hyperparams(t, "price_ov
 # pipelines
 def _replayed(t: DataFrame) -> DataFrame:
     p = Pipeline(t).pipe(M.impute, ["qty", "tax"], "median").pipe(Z.scale, ["price"], "min_max").pipe(E.one_hot_encode, ["flag"]).pipe(C.filter, "qty > 10")
-    with tempfile.TemporaryDirectory() as d:
-        p.save(d)
-        return Pipeline.load(d).apply(t).select(*KEYS, "qty", "price", "flag_A", "flag_N", "flag_R")
+    folder = f"{shared_folder(t.sparkSession)}/{uuid.uuid4().hex}"
+    p.save(folder)
+    return Pipeline.load(folder).apply(t).select(*KEYS, "qty", "price", "flag_A", "flag_N", "flag_R")
 
 
 on("line", "pipeline_replayed", _replayed, f"+f as (select *, coalesce(qty, (select median(qty) from t)) q from t) select {K}, q qty, round((price - (select min(price) from t)) / (select max(price) - min(price) from t), 6) price, " + ", ".join(f"coalesce(flag = '{v}', false)::tinyint flag_{v}" for v in "ANR") + " from f where q > 10")

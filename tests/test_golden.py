@@ -377,6 +377,20 @@ def test_group_statistics_keep_null_groups(spark):
         assert filled.where("x is null").count() == 0
 
 
+def test_many_rare_categories(spark):
+    """More of them than are named in an expression, with a column named like the lookups'."""
+    t = spark.range(3000).select(F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") < 1500, F.concat(F.lit("r"), F.col("id"))).otherwise("often").alias("v"), F.lit("x").alias("__hit"))
+    out = encode.merge_infreq_categories(t, ["v"], 5)
+    rare = sorted(f"r{i}" for i in range(1500) if i % 50)
+    r = {x["v"]: x["n"] for x in out.groupBy("v").agg(F.count("*").alias("n")).collect()}
+    assert r == {"|".join(rare): len(rare), "often": 1470, None: 60} and out.columns == t.columns
+    places = encode.ordinal_auto_encode(t, ["v"])
+    assert places.agg(F.max("v"), F.min("v")).first() == (len(rare) + 1, 0)
+    with pytest.raises(ValueError):
+        encode.one_hot_encode(t, ["v"])
+    assert len(encode.one_hot_encode(t, ["v"], max_flags=2000).columns) == len(rare) + 2
+
+
 def test_order_and_rename(spark):
     t = frame(spark, [(2,), (None,), (1,)], "A int")
     assert one(columns.order_by(t, "A"), "A") == [None, 1, 2]
