@@ -24,38 +24,45 @@ def _level(c: str) -> Column:
     return F.lower(F.trim(F.col(f"`{c}`")))
 
 
-def _variances(cells: DataFrame, fields: Sequence[int]) -> dict[int, tuple[float, float, float]]:
-    """For each field the mean and the ratios of the residual variance to those of groups and of group-months.
+def _variances(cells: DataFrame, months: DataFrame, means: Sequence[float]) -> list[tuple[float, float, float]]:
+    """For each field the ratios of the residual variance to those of groups, of group-months and of months.
 
-    Moments of a nested analysis of variance, from sums of the cells; a few numbers come to the driver.
+    Moments of a nested analysis of variance, from the cells' sums of differences from the field's mean and their
+    sums of squares about their own means, which lose no digits to large values; a few numbers come to the driver.
     """
-    aggs, areas = [], []
-    for i in fields:
-        n, s, q = F.col(f"n{i}"), F.col(f"s{i}"), F.col(f"q{i}")
-        areas += [F.sum(n).alias(f"n{i}"), F.sum(s).alias(f"s{i}"), F.sum(q).alias(f"q{i}"), F.count(F.when(n > 0, 1)).alias(f"c{i}"), F.sum(F.try_divide(s * s, n)).alias(f"b{i}"), F.sum(n * n).alias(f"m{i}")]
+    aggs, areas, by_month = [], [], []
+    square = lambda s, n: F.sum(F.try_divide(s * s, n))
+    for i, mean in enumerate(means):
+        n, q = F.col(f"n{i}"), F.col(f"q{i}")
+        c = F.col(f"s{i}") - n * mean
+        areas += [F.sum(n).alias(f"n{i}"), F.sum(c).alias(f"s{i}"), F.sum(q).alias(f"q{i}"), F.count(F.when(n > 0, 1)).alias(f"c{i}"), square(c, n).alias(f"b{i}"), F.sum(n * n).alias(f"m{i}")]
         aggs += [
-            F.sum(n).alias(f"N{i}"), F.sum(s).alias(f"S{i}"), F.sum(q).alias(f"Q{i}"), F.sum(f"c{i}").alias(f"C{i}"), F.count(F.when(n > 0, 1)).alias(f"G{i}"), F.sum(f"b{i}").alias(f"B{i}"),
-            F.sum(F.try_divide(s * s, n)).alias(f"A{i}"), F.sum(n * n).alias(f"M{i}"), F.sum(F.try_divide(F.col(f"m{i}"), n)).alias(f"K{i}"),
+            F.sum(n).alias(f"N{i}"), F.sum(q).alias(f"Q{i}"), F.sum(f"c{i}").alias(f"C{i}"), F.count(F.when(n > 0, 1)).alias(f"G{i}"), F.sum(f"b{i}").alias(f"B{i}"),
+            square(F.col(f"s{i}"), n).alias(f"A{i}"), F.sum(n * n).alias(f"M{i}"), F.sum(F.try_divide(F.col(f"m{i}"), n)).alias(f"K{i}"),
         ]
-    r = cells.groupBy("group").agg(*areas).agg(*aggs).first()
-    out = {}
-    for i in fields:
-        total, mean = r[f"N{i}"] or 0, (r[f"S{i}"] or 0.0) / max(r[f"N{i}"] or 0, 1)
-        n_cells, groups = r[f"C{i}"] or 0, r[f"G{i}"] or 0
-        within = max((r[f"Q{i}"] or 0.0) - (r[f"B{i}"] or 0.0), 0.0) / max(total - n_cells, 1)
-        size_c = (total - (r[f"K{i}"] or 0.0)) / max(n_cells - groups, 1)
-        of_cells = max(((r[f"B{i}"] or 0.0) - (r[f"A{i}"] or 0.0)) / max(n_cells - groups, 1) - within, 0.0) / max(size_c, 1e-9)
-        size_g = (total - (r[f"M{i}"] or 0) / max(total, 1)) / max(groups - 1, 1)
-        of_groups = max(((r[f"A{i}"] or 0.0) - total * mean * mean) / max(groups - 1, 1) - within, 0.0) / max(size_g, 1e-9)
-        out[i] = (mean, min(within / of_groups, 1e9) if of_groups > 0 else 1e9, min(within / of_cells, 1e9) if of_cells > 0 else 1e9)
+        m = F.col(f"m_n{i}")
+        by_month += [F.count(F.when(m > 0, 1)).alias(f"G{i}"), square(F.col(f"m_s{i}") - m * mean, m).alias(f"A{i}"), F.sum(m * m).alias(f"M{i}")]
+    if not means:
+        return []
+    r, t = cells.groupBy("group").agg(*areas).agg(*aggs).first(), months.agg(*by_month).first()
+    out = []
+    for i in range(len(means)):
+        total, n_cells, groups = r[f"N{i}"] or 0, r[f"C{i}"] or 0, r[f"G{i}"] or 0
+        within = (r[f"Q{i}"] or 0.0) / max(total - n_cells, 1)
+        size = lambda x, k: max((total - x) / max(k - 1, 1), 1e-9)
+        above = lambda x, k, n: max((x or 0.0) / max(k, 1) - within, 0.0) / n
+        of_groups = above(r[f"A{i}"], groups - 1, size((r[f"M{i}"] or 0) / max(total, 1), groups))
+        of_cells = above((r[f"B{i}"] or 0.0) - (r[f"A{i}"] or 0.0), n_cells - groups, size(r[f"K{i}"] or 0.0, n_cells - groups + 1))
+        of_months = above(t[f"A{i}"], t[f"G{i}"] - 1, size((t[f"M{i}"] or 0) / max(total, 1), t[f"G{i}"]))
+        out.append(tuple(min(within / v, 1e9) if v > 0 else 1e9 for v in (of_groups, of_cells, of_months)))
     return out
 
 
 def fit_fills(df: DataFrame, numeric: Sequence[str], levels: Mapping[str, Sequence[str]], group: str, when: str, prior: float = PRIOR_WEIGHT) -> DataFrame:
     """``group, month`` and a prediction ``f{i}`` of each field for every group and month that has a value of it.
 
-    A number is predicted as mean + month effect + group effect + effect of the group in the month, where the
-    effects of groups and of group-months are shrunk by the ratio of variances; a category as the most probable
+    A number is predicted as mean + month effect + group effect + effect of the group in the month, all of them
+    shrunk by ratios of variances, so that an effect of few records stays small; a category as the most probable
     level of a multinomial whose counts in the group and month are joined with ``prior`` records spread by the
     main effects of group and month (of equally probable levels the first of ``levels``). Everything comes from
     one table of sums per group and month, counted before the shuffle.
@@ -63,7 +70,7 @@ def fit_fills(df: DataFrame, numeric: Sequence[str], levels: Mapping[str, Sequen
     aggs = []
     for i, c in enumerate(numeric):
         x = _number(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s{i}"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias(f"q{i}")]
+        aggs += [F.count(x).alias(f"n{i}"), F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s{i}"), F.coalesce(F.count(x) * F.var_pop(x), F.lit(0.0)).alias(f"q{i}")]
     fields = range(len(numeric), len(numeric) + len(levels))
     for i, (c, names) in zip(fields, levels.items()):
         aggs += [F.count(F.when(_level(c) == v, 1)).alias(f"k{i}_{j}") for j, v in enumerate(names)]
@@ -76,17 +83,17 @@ def fit_fills(df: DataFrame, numeric: Sequence[str], levels: Mapping[str, Sequen
     # a calendar has at most 12 months in 9999 years, so this table is small whatever the data
     at = cells.join(F.broadcast(months), "month")
     at = at.select("*", *[F.sum(c).over(by_group).alias(f"g_{c}") for c in sums if c[0] in "nk"])
-    moments = _variances(cells, range(len(numeric)))
     numbers = range(len(numeric))
-    at = at.select("*", *[F.coalesce(F.try_divide(f"m_s{i}", f"m_n{i}"), F.lit(moments[i][0])).alias(f"e{i}") for i in numbers])
+    r = cells.agg(F.count(F.lit(1)), *[F.sum(c).alias(c) for c in sums]).first()
+    means = [(r[f"s{i}"] or 0.0) / max(r[f"n{i}"] or 0, 1) for i in numbers]
+    moments = _variances(cells, months, means)
+    at = at.select("*", *[(means[i] + F.coalesce((F.col(f"m_s{i}") - F.col(f"m_n{i}") * means[i]) / (F.col(f"m_n{i}") + moments[i][2]), F.lit(0.0))).alias(f"e{i}") for i in numbers])
     at = at.select("*", *[F.sum(F.col(f"s{i}") - F.col(f"n{i}") * F.col(f"e{i}")).over(by_group).alias(f"g_r{i}") for i in numbers])
-    at = at.select("*", *[(F.col(f"e{i}") + F.col(f"g_r{i}") / (F.col(f"g_n{i}") + moments[i][1])).alias(f"main{i}") for i in numbers])
+    at = at.select("*", *[(F.col(f"e{i}") + F.col(f"g_r{i}") / (F.col(f"g_n{i}") + moments[i][0])).alias(f"main{i}") for i in numbers])
     found = []
     for i in numbers:
         n, main = F.col(f"n{i}"), F.col(f"main{i}")
-        found.append(F.when(n > 0, main + (F.col(f"s{i}") - n * main) / (n + moments[i][2])).alias(f"f{i}"))
-    if levels:
-        r = cells.agg(*[F.sum(c).alias(c) for c in sums if c[0] == "k"]).first()
+        found.append(F.when(n > 0, main + (F.col(f"s{i}") - n * main) / (n + moments[i][1])).alias(f"f{i}"))
     for i, names in zip(fields, levels.values()):
         totals = [float(r[f"k{i}_{j}"] or 0) for j in range(len(names))]
         shares = F.array(*[F.lit((t + 1) / (sum(totals) + len(names))) for t in totals])

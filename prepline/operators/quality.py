@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prepline.operators.quantiles import column_quantiles
+
 #: Least share of a bin in the population stability index.
 LEAST_SHARE = 0.0001
 #: Most values of a text column that are categories of their own in its baseline; others count as one.
@@ -34,21 +36,23 @@ def _number(c: str) -> Column:
 
 
 def fit_baseline(accepted: DataFrame, numeric: Sequence[str], text: Sequence[str] = (), bins: int = 10) -> dict[str, Baseline]:
-    """One aggregate over the accepted load, and one per text column; only a few numbers per numeric column come to
-    the driver, and the shares of the most frequent ``MOST_CATEGORIES`` values of a text column.
+    """One aggregate over the accepted load, its quantiles, and one count of values per text column; only a few numbers
+    per numeric column come to the driver, and the shares of the most frequent ``MOST_CATEGORIES`` values of a text.
 
-    Breaks are the inner quantiles of the non-null values by linear interpolation. A column without values has
+    Breaks are the inner quantiles of the finite values by linear interpolation, from sorted counts of values where
+    the load isn't small, so that no task holds a whole column. A column without values has
     no range and no breaks; an empty table has null shares of 0.
     """
     qs = [i / bins for i in range(1, bins)]
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(numeric):
         x = _number(c)
-        aggs += [F.count(x).alias(f"c{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), F.percentile(x, F.array(*map(F.lit, qs))).alias(f"q{i}")]
+        aggs += [F.count(x).alias(f"c{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
     aggs += [F.count(f"`{c}`").alias(f"t{i}") for i, c in enumerate(text)]
     r = accepted.agg(*aggs).first()
     n = max(r["n"], 1)
-    found = {c: Baseline((r["n"] - r[f"c{i}"]) / n, r[f"l{i}"], r[f"h{i}"], tuple(r[f"q{i}"] or ())) for i, c in enumerate(numeric)}
+    q = column_quantiles(accepted, numeric, qs)
+    found = {c: Baseline((r["n"] - r[f"c{i}"]) / n, r[f"l{i}"], r[f"h{i}"], tuple(q[c] or ())) for i, c in enumerate(numeric)}
     for i, c in enumerate(text):
         words = accepted.select(F.col(f"`{c}`").alias("words")).where("words is not null").groupBy("words").agg(F.count(F.lit(1)).alias("n"))
         top = words.orderBy(F.desc("n"), "words").limit(MOST_CATEGORIES).collect()
@@ -158,7 +162,7 @@ def profile_loads(df: DataFrame, by: str, numeric: Sequence[str], text: Sequence
 
 @dataclass(frozen=True)
 class Limits:
-    """When a check of a load holds; see ``failed_checks``."""
+    """When a check of a load holds; see ``failed_checks``. Checks whose limit is None aren't made."""
 
     null_rise: float = 0.10
     outside_share: float = 0.05
@@ -166,6 +170,9 @@ class Limits:
     bad_share: float = 0.05
     least_values: int = 100
     psi: float = 0.3
+    chi2: float | None = None
+    category_psi: float | None = None
+    category_chi2: float | None = None
 
 
 def failed_checks(profile: DataFrame, by: str, baseline: Mapping[str, Baseline], patterns: Mapping[str, str] | None = None, limits: Limits = Limits()) -> DataFrame:
@@ -174,7 +181,9 @@ def failed_checks(profile: DataFrame, by: str, baseline: Mapping[str, Baseline],
     ``null`` (share of nulls above the baseline's by more than null_rise), ``range`` (more than outside_share of
     the values outside the baseline's range), ``single`` (one value is more than single_share of the values),
     ``pattern`` (more than bad_share of the values don't match), ``drift`` (at least least_values inside the
-    range, stability index above psi).
+    range, stability index above psi). If asked for: ``chi2`` (at least least_values inside the range, chi-square
+    above its critical value), ``category_psi`` and ``category_chi2`` (at least least_values, the same of the
+    categories of a text column).
     """
     name, v = F.col("column_name"), F.col("n_values")
     base_nulls = F.lit(None).cast("double")
@@ -187,5 +196,8 @@ def failed_checks(profile: DataFrame, by: str, baseline: Mapping[str, Baseline],
         "pattern": name.isin(list(patterns or {})) & (F.col("n_bad") > limits.bad_share * v),
         "drift": (F.col("n_inside") >= limits.least_values) & (F.col("psi") > limits.psi),
     }
+    for key, enough in (("chi2", F.col("n_inside")), ("category_psi", v), ("category_chi2", v)):
+        if (limit := getattr(limits, key)) is not None:
+            checks[key] = (enough >= limits.least_values) & (F.col(key) > limit)
     held = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]))
     return profile.select(by, "column_name", F.explode(held).alias("check_name"))

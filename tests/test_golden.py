@@ -379,7 +379,7 @@ def test_group_statistics_keep_null_groups(spark):
 
 def test_many_rare_categories(spark):
     """More of them than are named in an expression, with a column named like the lookups'."""
-    t = spark.range(3000).select(F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") < 1500, F.concat(F.lit("r"), F.col("id"))).otherwise("often").alias("v"), F.lit("x").alias("__hit"))
+    t = spark.range(3000).select(F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") < 1500, F.concat(F.lit("r"), F.col("id"))).otherwise("often").alias("v"), F.lit("x").alias("hit"))
     out = encode.merge_infreq_categories(t, ["v"], 5)
     rare = sorted(f"r{i}" for i in range(1500) if i % 50)
     r = {x["v"]: x["n"] for x in out.groupBy("v").agg(F.count("*").alias("n")).collect()}
