@@ -10,13 +10,15 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import os
 from dataclasses import dataclass
 
 import numpy as np
 import regex
 import xxhash
 
-DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Rank file used unless another is given; the folder of public vocabularies is a setting.
+DEFAULT_VOCABULARY = os.path.join(os.environ.get("PREPLINE_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 
 # Fixed value: the public pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -50,6 +50,12 @@ def merge_sketches(sketches: DataFrame, by: Sequence[str] = ("dimension", "key",
     return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
 
 
+def column_of(share: float) -> str:
+    """``p05`` for 0.05, ``p0_1`` for 0.001: no two shares have the same name."""
+    percent = f"{share * 100:.10f}".rstrip("0").rstrip(".")
+    return "p" + (percent.zfill(2) if percent.isdigit() else percent.replace(".", "_"))
+
+
 def percentiles(sketches: DataFrame, shares: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """``sketches`` with the percentiles ``p05`` ... instead of the sketch: the value of the sketch at that rank.
 
@@ -58,4 +64,4 @@ def percentiles(sketches: DataFrame, shares: Sequence[float] = (0.05, 0.25, 0.5,
     """
     found = F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, shares)))
     at = sketches.withColumn("__q", found)
-    return at.select("*", *[F.col("__q")[i].alias(f"p{round(s * 100):02d}") for i, s in enumerate(shares)]).drop("sketch", "__q")
+    return at.select("*", *[F.col("__q")[i].alias(column_of(s)) for i, s in enumerate(shares)]).drop("sketch", "__q")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepline.llm.encoding import encode_corpus
 from prepline.llm.forms import look_alike_classes, look_alike_pairs, unify_text
 from prepline.llm.mixing import mix_sources
-from prepline.llm.quantiles import build_sketches, merge_sketches, percentiles, rank_error
+from prepline.llm.quantiles import K, build_sketches, merge_sketches, percentiles, rank_error, usable
 from prepline.llm.sampling import sample_plans
 from prepline.llm.terms import count_terms, mark_terms
 from prepline.queries.registry import Query, Registry
@@ -65,6 +67,30 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(loads.unionByName(whole)).withColumn("rank_error", F.when(F.col("n") > 1024, rank_error()).otherwise(0.0))
 
 
+@registry.query(
+    """
+select d.dimension, d.key, f.field, count(*) n, true within_error
+from advertising,
+     lateral (values ('country', country), ('clicked_on_ad', clicked_on_ad::varchar)) d(dimension, key),
+     lateral (values ('area_income', area_income), ('daily_internet_usage', daily_internet_usage)) f(field, x)
+where isfinite(f.x) and f.x > 0 group by 1, 2, 3"""
+)
+def p3_rank_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the percentiles over all loads, from sketches of each, are within twice the stated error of their ranks."""
+    ads = table(spark, d, "advertising")
+    found = cut(percentiles(merge_sketches(_sketches(spark, d))))
+    cells = ads.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("key")) for c in DIMENSIONS])), *[usable(f).alias(f"x{i}") for i, f in enumerate(FIELDS)]
+    ).select("dimension", "key", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"x{i}").alias("x")) for i, f in enumerate(FIELDS)])))
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("dimension", "key", "field")])
+    joined = cells.where("x is not null").alias("a").join(found.alias("b"), same).select("b.*", "x")
+    shares = {0.05: "p05", 0.25: "p25", 0.5: "p50", 0.75: "p75", 0.95: "p95"}
+    below = joined.groupBy("dimension", "key", "field", "n").agg(*[F.avg((F.col("x") < F.col(c)).cast("double")).alias(f"l_{c}") for c in shares.values()], *[F.avg((F.col("x") <= F.col(c)).cast("double")).alias(f"u_{c}") for c in shares.values()])
+    slack = F.when(F.col("n") > K, 2 * rank_error()).otherwise(0.0) + 1e-9
+    ok = [(F.col(f"l_{c}") <= s + slack) & (F.col(f"u_{c}") >= s - slack) for s, c in shares.items()]
+    return below.select("dimension", "key", "field", "n", functools.reduce(lambda a, b: a & b, ok).alias("within_error"))
+
+
 @registry.query(
     """
 with k as (

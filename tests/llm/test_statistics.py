@@ -140,6 +140,12 @@ def test_sketches_merge_within_the_error(spark):
             assert abs(rank - share) <= 1.5 * rank_error() + 1 / len(own)
 
 
+def test_names_of_percentiles(spark):
+    t = spark.range(5000).selectExpr("1 load_id", "'a' country", "id + 1.0 x")
+    out = percentiles(build_sketches(t, ["load_id"], ["country"], ["x"]), (0.001, 0.002, 0.05, 0.5, 0.999, 1.0))
+    assert out.columns[-6:] == ["p0_1", "p0_2", "p05", "p50", "p99_9", "p100"]
+
+
 def test_sketch_edges(spark):
     t = spark.createDataFrame([(1, None, 5.0, 0), (1, None, 5.0, 0), (1, "a", None, 0), (None, "a", 2.0, None)], "load_id int, country string, x double, clicked int")
     r = {(x["load_id"], x["dimension"], x["key"]): x for x in percentiles(build_sketches(t, ["load_id"], ["country", "clicked"], ["x"])).collect()}
