@@ -13,6 +13,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,6 +122,13 @@ def _fit(df: DataFrame, target: str, features: Sequence[str], params: dict | Non
     return GBTClassifier(labelCol="__y", featuresCol="__x", **p).fit(data)
 
 
+def _fit_regression(df: DataFrame, target: str, features: Sequence[str], params: dict | None = None, seed: int = 42):
+    """The same trees for a numeric target."""
+    p = {"maxIter": 20, "maxDepth": 4, "seed": seed} | (params or {})
+    data = assemble(df.where(finite(name(target)).isNotNull()), features, "__x").select(finite(name(target)).alias("__y"), "__x")
+    return GBTRegressor(labelCol="__y", featuresCol="__x", **p).fit(data)
+
+
 def tree_importances(df: DataFrame, target: str, cols: Sequence[str], params: dict | None = None) -> dict[str, float]:
     return dict(zip(cols, map(float, _fit(df, target, cols, params).featureImportances.toArray())))
 

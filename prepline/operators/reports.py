@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from prepline.functions.safe import INF, NAN, fdiv, finite, is_invalid, safe_corr
 from prepline.functions.sqltext import name
+from prepline.operators.encode import interval_sql
 from prepline.operators.infer import category_counts, infer_discretes
-from prepline.operators.metrics import psi, psi_discrete
 from prepline.operators.quantiles import SortedCounts, column_modes, column_quantiles, group_modes, group_quantiles, running, same
 from prepline.operators.schema import get_numeric_cols, get_string_cols, kinds
 from prepline.operators.strings import time_buckets
@@ -201,12 +201,29 @@ def old_vs_new_report(old: DataFrame, new: DataFrame, features: Sequence[str], p
     out = a.join(b.select("column", *[F.col(name(c)).alias(f"{c}_new") for c in b.columns if c not in ("column", "dtype")]), "column")
     if not compute_psi:
         return out
+    return out.join(_stability(old, new, features, psi_bins), "column")
+
+
+def _stability(old: DataFrame, new: DataFrame, features: Sequence[str], bins: int, clip: float = 1e-5) -> DataFrame:
+    """``column, psi`` of all features by one count: categories (null is one) or bins between the old quantiles.
+
+    -1 for a continuous feature without old values.
+    """
     k = kinds(old)
     discrete = set(infer_discretes(old.select(*map(name, features)))) | {c for c in features if k[c] in ("string", "bool")}
-    rows = []
-    for c in features:
-        try:
-            rows.append((c, psi_discrete(old, c, new, c) if c in discrete else psi(old, c, new, c, psi_bins)))
-        except (ValueError, TypeError):
-            rows.append((c, -1.0))
-    return out.join(old.sparkSession.createDataFrame(rows, "column string, psi double"), "column")
+    numbers = [c for c in features if c not in discrete]
+    cuts = {c: v for c, v in column_quantiles(old, numbers, [i / bins for i in range(1, bins)]).items() if v}
+    known = [c for c in features if c in discrete or c in cuts]
+
+    def side(df: DataFrame, of: str) -> DataFrame:
+        plain = df.select(*[F.col(name(c)).cast("string").alias(c) if c in discrete else finite(name(c)).alias(c) for c in known])
+        cells = [F.struct(F.lit(c).alias("column"), (F.col(name(c)) if c in discrete else F.expr(interval_sql(name(c), cuts[c]))).alias("v"), F.lit(c in discrete).alias("d")) for c in known]
+        return plain.select(F.inline(F.array(*cells))).where("d or v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias(of))
+
+    none = old.sparkSession.createDataFrame([(c, -1.0) for c in features if c not in known], "column string, psi double")
+    if not known:
+        return none
+    both = side(old, "a").withColumn("b", F.lit(0).cast("bigint")).unionByName(side(new, "b").withColumn("a", F.lit(0).cast("bigint"))).groupBy("column", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    whole = Window.partitionBy("column")
+    share = lambda c: F.greatest(F.col(c) / F.greatest(F.sum(c).over(whole), F.lit(1)), F.lit(clip))
+    return both.select("column", share("a").alias("e"), share("b").alias("s")).groupBy("column").agg(F.sum((F.col("e") - F.col("s")) * F.log(F.col("e") / F.col("s"))).alias("psi")).unionByName(none)

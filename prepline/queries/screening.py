@@ -78,11 +78,22 @@ on("ord", "infer_dates", lambda t: I.infer_dates(t.withColumn("day", F.date_form
 on("cust", "infer_by_pattern", lambda t: I.infer_by_pattern(t, "[0-9]{3}"), _where({c: f"avg(coalesce(regexp_matches({c}, '[0-9]{{3}}'), false)::int) >= 0.9" for c in ("c_name", "seg")}))
 on("parts", "infer_multicategorical", lambda t: I.infer_multicategorical(t, " "), _where({c: f"avg(regexp_matches({c}, '.+ .+')::int) >= 0.5" for c in ("p_name", "p_brand", "p_type")}))
 on("cust", "infer_nums_from_str", lambda t: I.infer_nums_from_str(t), _where({c: f"avg(len(regexp_extract_all({c}, '\\d*\\.?\\d+'))) >= 0.95" for c in ("c_name", "seg")}))
-on("line", "estimate_n_unique", lambda t: I.estimate_n_unique(t, ["flag", "l_partkey", "qty"]))
+on("line", "estimate_n_unique", lambda t: I.estimate_n_unique(t, ["flag", "l_partkey", "qty"]).withColumnRenamed("n_unique", "e").join(I.get_unique_count(t.select("flag", "l_partkey", "qty")), "column").select("column", "n_unique", (F.abs(F.col("e") / F.col("n_unique") - 1) < 0.5).alias("near")), " union all ".join(f"select '{c}' \"column\", {_NU[c]} n_unique, true near from t" for c in ("flag", "l_partkey", "qty")))
 on("parts", "infer_infreq_categories", lambda t: I.infer_infreq_categories(t, ["p_brand", "p_type", "p_name"], min_count=80), "+c as (select 'p_brand' feature, p_brand v from t union all select 'p_type', p_type from t union all select 'p_name', p_name from t), g as (select feature, v, count(*) n from c group by 1, 2) select feature, list(v order by v) categories from g where n < 80 and v is not null group by 1")
 on("parts", "infer_str_most_common_len", lambda t: I.infer_str_most_common_len(t), "+c as (select 'p_brand' k, p_brand v from t union all select 'p_type', p_type from t union all select 'p_name', p_name from t), g as (select k, strlen(v) l, count(*) n from c where v is not null group by 1, 2) select k \"column\", first(l order by n desc, l) common_len, round(max(n) / sum(n), 6) share from g group by 1")
 on("line", "infer_highly_correlated", lambda t: I.infer_highly_correlated(t.select("qty", "price", "disc", "tax", (-F.col("qty")).alias("neg")), 0.5), "+c as (" + " union all ".join(f"select '{a}' a, '{b}' b, corr({x}, {y}) r from t" for a, x in (("qty", "qty"), ("price", "price"), ("disc", "disc"), ("tax", "tax"), ("neg", "-qty")) for b, y in (("qty", "qty"), ("price", "price"), ("disc", "disc"), ("tax", "tax"), ("neg", "-qty")) if a != b) + ") select a features, coalesce(list(b order by array_position(['qty', 'price', 'disc', 'tax', 'neg'], b)) filter (where r > 0.5), []) \"corr > 0.50\", coalesce(list(b order by array_position(['qty', 'price', 'disc', 'tax', 'neg'], b)) filter (where r < -0.5), []) \"corr < -0.50\" from c group by 1 having max(abs(r)) > 0.5")
 
+WIDE = {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "l_partkey": "l_partkey", "qty": "qty", "price": "price", "disc": "disc", "tax": "tax", "net": "price * (1 - disc)", "neg": "-qty", "odd": "l_orderkey % 2 + 0.0", "same": "1.5"}
+
+
+def wide(t):
+    """More columns than one aggregate takes the pairs of."""
+    return t.selectExpr(*[f"cast({e} as double) as {c}" for c, e in WIDE.items()])
+
+
+_ORDER = ", ".join(f"'{c}'" for c in WIDE)
+on("line", "infer_highly_correlated_wide", lambda t: I.infer_highly_correlated(wide(t), 0.5), "+w as (select " + ", ".join(f"({e})::double as {c}" for c, e in WIDE.items()) + " from t), c as (" + " union all ".join(f"select '{a}' a, '{b}' b, case when stddev_pop({a}) > 0 and stddev_pop({b}) > 0 then corr({a}, {b}) end r from w" for a in WIDE for b in WIDE if a != b) + f") select a features, coalesce(list(b order by array_position([{_ORDER}], b)) filter (where r > 0.5), []) \"corr > 0.50\", coalesce(list(b order by array_position([{_ORDER}], b)) filter (where r < -0.5), []) \"corr < -0.50\" from c group by 1 having max(abs(r)) > 0.5")
+
 # reports
 on("line", "check_target_cardinality", lambda t: R.check_target_cardinality(t, "target"), "select target, count(*) cnt, round(count(*) / (select count(*) from t), 6) pct from t group by 1")
 on("line", "range_counts", lambda t: R.range_counts(t, {"qty": [(1, 20), (23, 45)], "disc": [(0.02, 0.05)]}), "select 'qty' \"column\", 1.0::double as lower, 20.0::double as upper, count(*) filter (where qty between 1 and 20) cnt from t union all select 'qty', 23.0::double, 45.0::double, count(*) filter (where qty between 23 and 45) from t union all select 'disc', 0.02::double, 0.05::double, count(*) filter (where disc between 0.02 and 0.05) from t")
@@ -101,7 +112,15 @@ def _profile(c: str, kind: str) -> str:
 
 _TEXT = "select '{0}' \"column\", 'string' dtype, round(avg(({0} is null)::int), 5) null_pct, min({0}) \"min\", max({0}) \"max\", null::double mean, null::double std, null::double median, null::double skew, null::double kurtosis, null::double \"25.0-percentile\", null::double \"75.0-percentile\" from t"
 on("line", "data_profile", lambda t: R.data_profile(t.select("l_orderkey", "l_linenumber", "l_partkey", "qty", "price", "disc", "tax", "flag", "status")), " union all ".join([*[_profile(c, k) for c, k in (("l_orderkey", "bigint"), ("l_linenumber", "int"), ("l_partkey", "bigint"), ("qty", "double"), ("price", "double"), ("disc", "double"), ("tax", "double"))], _TEXT.format("flag"), _TEXT.format("status")]), digits=5)
-on("line", "data_profile_approx", lambda t: R.data_profile(t.select("qty", "price", "disc"), accuracy=1000))
+
+
+def _near_profile(t):
+    """Approximate medians beside exact ones: near each other as a share of the range."""
+    a, b = (R.data_profile(t.select("qty", "price", "disc"), accuracy=k).select("column", F.col("median").alias(m), "min", "max") for k, m in ((1000, "a"), (None, "b")))
+    return a.join(b.drop("min", "max"), "column").select("column", (F.abs(F.col("a") - F.col("b")) <= 0.01 * (F.col("max").cast("double") - F.col("min").cast("double"))).alias("near"))
+
+
+on("line", "data_profile_approx", _near_profile, "select unnest(['qty', 'price', 'disc']) \"column\", true near")
 _META = "select '{0}' features, count(*) filter (where {0} is null) null_count, min({0}) \"min\", max({0}) \"max\", (select {0} from t where {0} is not null group by 1 order by count(*) desc, 1 limit 1) \"mode\", min(strlen({0})) min_byte_len, max(strlen({0})) max_byte_len, round(avg(strlen({0})), 6) avg_byte_len, round(median(strlen({0})), 6) median_byte_len, round(avg(len(regexp_extract_all({0}, '\\s'))), 6) avg_space_cnt, round(avg(len(regexp_extract_all({0}, '[0-9]'))), 6) avg_digit_cnt, round(avg(len(regexp_extract_all({0}, '[A-Z]'))), 6) avg_cap_cnt, round(avg(len(regexp_extract_all({0}, '[a-z]'))), 6) avg_lower_cnt, sum(len(regexp_extract_all({0}, 'a')))::bigint total_a_count from t"
 on("parts", "str_meta_report", lambda t: R.str_meta_report(t, ["p_name", "p_brand", "p_type"], ["a"]), " union all ".join(_META.format(c) for c in ("p_name", "p_brand", "p_type")))
 on("line", "str_cats_report", lambda t: R.str_cats_report(t, ["flag", "status"]), "+c as (select 'flag' feature, flag v, count(*) n from t group by 2 union all select 'status', status, count(*) from t group by 2), d as (select *, n - lag(n) over (partition by feature order by n, v nulls first) s from c) select feature, count(*) n_unique, bool_or(v is null) has_null, first(v order by n, v nulls first) category_w_min_count, min(n) min_count, first(v order by n desc, v desc nulls last) category_w_max_count, max(n) max_count, round(avg(n), 6) avg_count, min(s) min_successive_diff, round(avg(s), 6) avg_successive_diff, max(s) max_successive_diff from d group by 1")
@@ -118,7 +137,8 @@ case when s = 0 then case when ls = 0 then 0.0 else 'nan'::double end when ls =
 case when os = 0 then case when s = 0 then 0.0 else 'nan'::double end else round(s / os - 1, 6) end "null_%chg_overall", round(m / om - 1, 6) "mean_%diff_overall" from p""")
 _HALF = lambda t: (t.where("l_linenumber <= 3"), t.where("l_linenumber > 3"))
 on("line", "old_vs_new_report", lambda t: R.old_vs_new_report(*_HALF(t), ["qty", "price"]).select("column", "mean", "mean_new", "median", "median_new", "null_pct", "null_pct_new"), " union all ".join(f"select '{c}' \"column\", round(avg({c}) filter (where l_linenumber <= 3), 6) mean, round(avg({c}) filter (where l_linenumber > 3), 6) mean_new, round(median({c}) filter (where l_linenumber <= 3), 6) median, round(median({c}) filter (where l_linenumber > 3), 6) median_new, round(avg(({c} is null)::int) filter (where l_linenumber <= 3), 6) null_pct, round(avg(({c} is null)::int) filter (where l_linenumber > 3), 6) null_pct_new from t" for c in ("qty", "price")))
-on("line", "old_vs_new_report_psi", lambda t: R.old_vs_new_report(*_HALF(t), ["qty", "price", "flag"], compute_psi=True).select("column", "psi"))
+_D = "select '{0}' \"column\", round(sum((e - s) * ln(e / s)), 6) psi from (select greatest(count(*) filter (where o) / (select count(*) from t where l_linenumber <= 3), 1e-5) e, greatest(count(*) filter (where not o) / (select count(*) from t where l_linenumber > 3), 1e-5) s from (select {0} v, l_linenumber <= 3 o from t) group by v)"
+on("line", "old_vs_new_report_psi", lambda t: R.old_vs_new_report(*_HALF(t), ["qty", "price", "flag"], compute_psi=True).select("column", "psi"), "+q as (select quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) q from t where l_linenumber <= 3), b as (select len(list_filter(q, lambda c: c < price)) v, l_linenumber <= 3 o from t, q where price is not null), p as (select count(*) filter (where o) / (select count(*) from b where o) e, count(*) filter (where not o) / (select count(*) from b where not o) s from b group by v) " + " union all ".join([_D.format("qty"), _D.format("flag"), "select 'price', round(sum((e - s) * ln(e / s)), 6) from (select greatest(e, 1e-5) e, greatest(s, 1e-5) s from p)"]))
 
 # diagnosis
 _CE2 = "(select '{0}' {2}, '{1}' {3}, round(greatest(sum(n * ln(m / n)) / sum(n), 0), 6) {4} from (select {0} x, {1} y, count(*) n, sum(count(*)) over (partition by {1}) m from t group by 1, 2))"

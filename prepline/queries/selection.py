@@ -33,24 +33,35 @@ def _sizes(frames, extra: str = "l_orderkey") -> DataFrame:
     return _union([f.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(extra), F.lit(0)).alias("total")).select(F.lit(i).alias("part"), "n", "total") for i, f in enumerate(frames)])
 
 
+def _share(t: DataFrame, part: DataFrame, share: float) -> DataFrame:
+    """Whether a part of the rows has no row twice, none from elsewhere, and about its share of all."""
+    n = t.count()
+    inside = part.join(t.select(*KEYS).distinct(), KEYS, "left_semi").count()
+    return part.agg((F.count(F.lit(1)) == F.count_distinct(*ID)).alias("once"), (F.count(F.lit(1)) == inside).alias("inside"), (F.abs(F.count(F.lit(1)) / n - share) < 0.03).alias("near"))
+
+
+_OK = "select true once, true inside, true near"
+
 # sampling
-on("line", "lazy_sample", lambda t: S.lazy_sample(t, 0.3, keys=ID).select(*KEYS))
-on("line", "lazy_sample_amount", lambda t: S.lazy_sample(t, sample_amt=1000, keys=ID).select(*KEYS))
+on("line", "lazy_sample", lambda t: _share(t, S.lazy_sample(t, 0.3, keys=ID), 0.3), _OK)
+on("line", "lazy_sample_amount", lambda t: S.lazy_sample(t, sample_amt=1000, keys=ID).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*ID).alias("d")), "select 1000::bigint n, 1000::bigint d")
 on("line", "deduplicate", lambda t: S.deduplicate(t, ["l_partkey", "flag"]).select("l_partkey", "flag"), "select distinct l_partkey, flag from t")
 on("line", "deduplicate_first", lambda t: S.deduplicate(t, ["l_partkey"], "first", ["l_orderkey", "l_linenumber", "price"]).select("l_partkey", *KEYS), f"select l_partkey, {K} from t qualify row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, price) = 1")
 on("line", "deduplicate_last", lambda t: S.deduplicate(t, ["l_partkey"], "last", ["l_orderkey", "l_linenumber", "price"]).select("l_partkey", *KEYS), f"select l_partkey, {K} from t qualify row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc, price desc) = 1")
 on("line", "deduplicate_none", lambda t: S.deduplicate(t, ["l_orderkey", "flag"], "none").select(*KEYS), f"select {K} from t qualify count(*) over (partition by l_orderkey, flag) = 1")
 on("cust", "simple_upsample", lambda t: S.simple_upsample(t, "seg = 'BUILDING'", 200).groupBy("seg").agg(F.count(F.lit(1)).alias("n")), "select seg, count(*) + case when seg = 'BUILDING' then 200 else 0 end n from t group by 1")
 on("line", "simple_downsample", lambda t: S.simple_downsample(t, "flag = 'N'", 0.0, ID).select(*KEYS), f"select {K} from t where flag is distinct from 'N'")
-on("line", "simple_downsample_share", lambda t: S.simple_downsample(t, "flag = 'N'", 0.2, ID).select(*KEYS))
-on("line", "stratified_downsample", lambda t: S.stratified_downsample(t, ["flag"], 50, keys=ID).groupBy("flag").agg(F.count(F.lit(1)).alias("n")), "select flag, least(count(*), 50) n from t group by 1")
+on("line", "simple_downsample_share", lambda t: S.simple_downsample(t, "flag = 'N'", 0.2, ID).groupBy((F.coalesce(F.col("flag") == "N", F.lit(False))).alias("own")).agg(F.count(F.lit(1)).alias("n")).crossJoin(t.agg(F.count(F.when(F.col("flag") == "N", 1)).alias("all"))).select("own", F.when(~F.col("own"), F.col("n")).alias("others"), F.when(F.col("own"), F.abs(F.col("n") / F.col("all") - 0.2) < 0.03).alias("near")), "select false own, count(*) others, null::boolean near from t where flag is distinct from 'N' union all select true, null, true")
+on("line", "stratified_downsample", lambda t: S.stratified_downsample(t, ["flag"], 50, keys=ID).groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*ID).alias("d")), "select flag, least(count(*), 50) n, least(count(*), 50) d from t group by 1")
 on("line", "stratified_downsample_share", lambda t: S.stratified_downsample(t, ["l_partkey"], 0.25, 3, keys=ID).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")), "select l_partkey, least(count(*), ceil(greatest(count(*) * 0.25, 3)))::bigint n from t group by 1")
 on("line", "train_test_split", lambda t: _union(S.train_test_split(t, 0.75, keys=ID)).select(*KEYS), f"select {K} from t")
+on("line", "train_test_split_share", lambda t: _share(t, S.train_test_split(t, 0.75, keys=ID)[0], 0.75), _OK)
+on("line", "train_test_split_rows", lambda t: _share(t, S.train_test_split(t, 0.6)[1], 0.4), _OK)
 on("line", "time_series_split", lambda t: _sizes([x for fold in S.time_series_split(t, ["ship", *ID], 3, gap=10) for x in fold]), "+o as (select l_orderkey, row_number() over (order by ship, l_orderkey, l_linenumber, l_partkey, price) r, count(*) over () n from t), f as (select unnest([3, 2, 1]) j), p as (select *, n - j * (n // 4) + 1 b, n // 4 s from o, f) select ((3 - j) * 2)::int part, count(*) n, sum(l_orderkey)::bigint total from p where r < b group by 1 union all select ((3 - j) * 2 + 1)::int, count(*), sum(l_orderkey)::bigint from p where r >= b + 10 and r < b + 10 + s group by 1")
 on("line", "time_sliding_window", lambda t: _sizes([_union(w) for w in S.time_sliding_window(t, "ship", "yearly", 2)]), "+y as (select year(ship) y, count(*) n, sum(l_orderkey) s from t group by 1), w as (select y, n + lead(n) over (order by y) n, s + lead(s) over (order by y) total, row_number() over (order by y) - 1 part from y) select part::int part, n, total::bigint total from w where n is not null")
 on("line", "sliding_window", lambda t: _sizes([_union(w) for w in S.sliding_window(t, ["l_linenumber"], 3)]), "+y as (select l_linenumber y, count(*) n, sum(l_orderkey) s from t group by 1), w as (select y, sum(n) over v n, sum(s) over v total, count(*) over v c, row_number() over (order by y) - 1 part from y window v as (order by y rows between current row and 2 following)) select part::int part, n::bigint n, total::bigint total from w where c = 3")
-on("line", "bootstrap", lambda t: _sizes(S.bootstrap(t, 3, sample_amt=500, keys=ID)).select("part", "n"), "select unnest([0, 1, 2]) part, 500::bigint n")
-on("line", "col_subsample", lambda t: [c for f in S.col_subsample(t, 1, 20, ["ship"]) for c in f.columns], "select unnest(['l_orderkey', 'l_linenumber', 'l_partkey', 'qty', 'price', 'disc', 'tax', 'flag', 'status', 'ship', 'target']) column_name")
+on("line", "bootstrap", lambda t: _union([f.agg(F.lit(i).alias("part"), F.count(F.lit(1)).alias("n"), F.count_distinct(*ID).alias("d")) for i, f in enumerate(S.bootstrap(t, 3, sample_amt=500, keys=ID))]), "select unnest([0, 1, 2]) part, 500::bigint n, 500::bigint d")
+on("line", "col_subsample", lambda t: t.sparkSession.createDataFrame([(i, len(f.columns), "ship" in f.columns, set(f.columns) <= set(t.columns), f.count()) for i, f in enumerate(S.col_subsample(t, 3, 4, ["ship"]))], "part int, n int, kept boolean, known boolean, n_rows bigint"), "select unnest([0, 1, 2]) part, 5 n, true kept, true known, (select count(*) from t) n_rows")
 on("line", "segmentation", lambda t: _union([f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("segment"), "n") for k, f in S.segmentation(t, [["flag", "status"]])]), "select '(''flag'', ''status'') = (' || coalesce('''' || flag || '''', 'None') || ', ''' || status || ''')' segment, count(*) n from t group by 1")
 on("line", "row_numbers", lambda t: S.row_numbers(t, ["ship", *ID]).select(*KEYS, F.col("row_nr").cast("bigint").alias("row_nr")), f"select {K}, row_number() over (order by ship, l_orderkey, l_linenumber, l_partkey, price) row_nr from t")
 
@@ -74,11 +85,38 @@ on("ads", "dist_test", lambda t: X.dist_test(t.select((F.col("daily_time_spent_o
 on("line", "dist_test_uniform", lambda t: X.dist_test(t.select((F.col("qty") / 51).alias("x")), "uniform").select("feature", "ks"), "select 'x' feature, round(max(greatest(c / n - x / 51, x / 51 - (c - k) / n)), 6) ks from (select qty x, count(*) k, sum(count(*)) over (order by qty) c, sum(count(*)) over () n from t where qty is not null group by 1)")
 on("line", "suggest_uniform", lambda t: X.suggest_uniform(t.select("price", "disc")))
 on("ads", "suggest_normal", lambda t: X.suggest_normal(t.select("daily_time_spent_on_site")))
-on("line", "mutual_info", lambda t: X.mutual_info(t, "status", ["qty", "price"]))
+_MI = """+k as (
+  select o_orderstatus s, o_totalprice x, count(*) over () n, count(*) over (partition by o_orderstatus) c, lag(o_totalprice, 1) over w l1, lag(o_totalprice, 2) over w l2, lag(o_totalprice, 3) over w l3,
+         lead(o_totalprice, 1) over w r1, lead(o_totalprice, 2) over w r2, lead(o_totalprice, 3) over w r3
+  from t window w as (partition by o_orderstatus order by o_totalprice)),
+r as (select *, least(coalesce(x - l3, 'inf'::double), coalesce(r3 - x, 'inf'::double), case when l2 is null or r1 is null then 'inf'::double else greatest(x - l2, r1 - x) end, case when l1 is null or r2 is null then 'inf'::double else greatest(x - l1, r2 - x) end) r from k),
+m as (select *, count(*) over (order by x range between (r - 1e-9) preceding and (r - 1e-9) following) m from r),
+d as (select n, c, m, ln(n + 6) - 0.5 / (n + 6) - 1 / (12.0 * (n + 6) ** 2) + 1 / (120.0 * (n + 6) ** 4) - list_sum(list_transform(range(6), lambda i: 1 / (n + i))) dn,
+             ln(c + 6) - 0.5 / (c + 6) - 1 / (12.0 * (c + 6) ** 2) + 1 / (120.0 * (c + 6) ** 4) - list_sum(list_transform(range(6), lambda i: 1 / (c + i))) dc,
+             ln(m + 6) - 0.5 / (m + 6) - 1 / (12.0 * (m + 6) ** 2) + 1 / (120.0 * (m + 6) ** 4) - list_sum(list_transform(range(6), lambda i: 1 / (m + i))) dm from m)
+select 'o_totalprice' feature, round(greatest(avg(dn) + (1.5 - 0.5772156649015329) - avg(dc) - avg(dm), 0), 3) estimated_mi from d"""
+on("ord", "mutual_info", lambda t: X.mutual_info(t, "o_orderstatus", ["o_totalprice"]), _MI, digits=3)
+on("ord", "mutual_info_blocks", lambda t: X.mutual_info(t, "o_orderstatus", ["o_totalprice"], block_rows=2000), _MI, digits=3)
 on("line", "mutual_info_selector", lambda t: X.mutual_info_selector(t.select("qty", "price", "status"), "status", top_k=1))
-on("line", "mrmr", lambda t: X.mrmr(t, "target", 3, F4))
-on("line", "mrmr_knock_out", lambda t: X.mrmr(t, "target", 3, F4, mrmr_strategy="knock_out"))
-on("line", "mrmr_ks", lambda t: X.mrmr(t, "target", 2, F4, relevance="ks", mrmr_strategy="accum_corr"))
+_FS = "+f as (" + " union all ".join(_F.format(c, "target") for c in F4) + "), rel as (select feature, b / w * (n - k) / (k - 1) f from f)"
+_KR = "+rel as (" + " union all ".join(f"select feature, ks f from {_KS.format(c)}" for c in F4) + ")"
+_CR = ", c as (" + " union all ".join(f"select '{a}' a, '{b}' b, abs(corr({a}, {b})) r from t" for a in F4 for b in F4 if a != b) + ")"
+
+
+def _rounds(rel: str, k: int, weight: float) -> str:
+    """The greedy rounds of accumulated correlation in SQL."""
+    out = [rel + _CR, "s1 as (select feature from rel order by f desc limit 1)"]
+    for j in range(1, k):
+        total = " + ".join(f"{1 - weight * i / k} * coalesce((select r from c, s{i} where a = rel.feature and b = s{i}.feature), 0)" for i in range(1, j + 1))
+        gone = " and ".join(f"rel.feature not in (from s{i})" for i in range(1, j + 1))
+        out.append(f"s{j + 1} as (select rel.feature from rel where {gone} order by {j} * f / ({total}) desc limit 1)")
+    return ", ".join(out) + " " + " union all ".join(f"select feature column_name from s{j}" for j in range(1, k + 1))
+
+
+on("line", "mrmr", lambda t: X.mrmr(t, "target", 3, F4), _rounds(_FS, 3, 1))
+on("line", "mrmr_knock_out", lambda t: X.mrmr(t, "target", 3, F4, mrmr_strategy="knock_out"), _FS + _CR + ", s1 as (select feature from rel order by f desc limit 1), s2 as (select feature from rel where feature not in (from s1) and not exists (from c, s1 where a = rel.feature and b = s1.feature and r >= 0.75) order by f desc limit 1), s3 as (select feature from rel where feature not in (from s1) and feature not in (from s2) and not exists (from c, s1 where a = rel.feature and b = s1.feature and r >= 0.75) and not exists (from c, s2 where a = rel.feature and b = s2.feature and r >= 0.75) order by f desc limit 1) select feature column_name from s1 union all select feature from s2 union all select feature from s3")
+on("line", "mrmr_ks", lambda t: X.mrmr(t, "target", 2, F4, relevance="ks", mrmr_strategy="accum_corr"), _rounds(_KR, 2, 0))
+on("line", "f_classif_wide", lambda t: X.f_classif(t.selectExpr("status", *[f"{c} as {c}{i}" for c in F4 for i in range(3)]), "status").select("feature", "f_value"), "+f as (" + " union all ".join(_F.format(c, "status") for c in F4) + ") select feature || i feature, round(b / w * (n - k) / (k - 1), 6) f_value from f, (select unnest([0, 1, 2]) i)")
 _W = "select '{0}' feature, {0}::varchar \"value\", (sum(price_over_200k) + 1) / ((select sum(price_over_200k) from t) + 2) e, (sum(1 - price_over_200k) + 1) / ((select sum(1 - price_over_200k) from t) + 2) o from t group by {0}"
 on("houses", "woe_iv", lambda t: X.woe_iv(t, "price_over_200k", ["ms_zoning", "heating", "central_air"]), "+w as (" + " union all ".join(_W.format(c) for c in ("ms_zoning", "heating", "central_air")) + ") select feature, \"value\", round(ln(e / o), 6) woe, round(sum((e - o) * ln(e / o)) over (partition by feature), 6) information_value from w")
 
@@ -91,7 +129,17 @@ def _model(t: DataFrame):
 
 
 on("houses", "append_classif_score", lambda t: L.append_classif_score(t, _model(t), _ML).select("id", "model_score"))
-on("houses", "append_regression", lambda t: L.append_regression(t, _model(t), _ML).select("id", "model_score"))
+_LOT = ["year_built", "ms_sub_class", "air"]
+
+
+def _regressed(t: DataFrame) -> DataFrame:
+    t = t.selectExpr("id", "year_built", "ms_sub_class", "if(central_air = 'Y', 1, 0) air", "ms_sub_class * 2.0 + if(central_air = 'Y', 50, 0) y")
+    return L.append_regression(t, L._fit_regression(t, "y", _LOT), _LOT)
+
+
+on("houses", "append_regression", lambda t: _regressed(t).select("id", "model_score"))
+on("houses", "append_regression_fit", lambda t: _regressed(t).agg(F.count("y").alias("n"), (F.sum(F.pow(F.col("y") - F.col("model_score"), 2)) < 0.1 * F.count("y") * F.var_pop("y")).alias("explains")), "select count(ms_sub_class) n, true explains from t")
+on("houses", "append_classif_score_fit", lambda t: L.append_classif_score(t, _model(t), _ML).groupBy("price_over_200k").agg(F.avg("model_score").alias("m"), F.count(F.lit(1)).alias("n")).agg((F.max(F.when(F.col("price_over_200k") == 1, F.col("m"))) > F.max(F.when(F.col("price_over_200k") == 0, F.col("m")))).alias("tells"), F.sum("n").alias("n")), "select true tells, count(*) n from t")
 on("houses", "permutation_importance", lambda t: L.permutation_importance(t.select("price_over_200k", *_ML), "price_over_200k"))
 on("houses", "ebfs", lambda t: L.ebfs(t.select("price_over_200k", *_ML, (F.col("central_air") == "Y").cast("int").alias("air")), "price_over_200k")[0])
 on("houses", "suggest_hyperparams", lambda t: L.suggest_hyperparams(t, "price_over_200k", _ML)[1].select("trial", "value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prepline.functions import numeric as N
@@ -48,7 +49,7 @@ on("line", "binarize", lambda t: C.binarize(t, {"qty": "qty > 25", "flag": "flag
 _FLAGS = {k: f"cast({c} % 2 as int)" for k, c in zip("abcde", ("l_orderkey", "l_linenumber", "l_partkey", "l_orderkey", "l_linenumber"))}
 on("line", "combine_zero_ones", lambda t: C.combine_zero_ones(C.combine_zero_ones(t.withColumns({k: F.expr(e) for k, e in _FLAGS.items()}), ["d", "e"], "same", rule="same"), ["a", "b", "c"], "any").select(*KEYS, "any", "same"), f"select {K}, greatest(l_orderkey % 2, l_linenumber % 2, l_partkey % 2)::tinyint \"any\", (l_orderkey % 2 = l_linenumber % 2)::tinyint same from t")
 on("line", "extract_horizontally", lambda t: C.extract_horizontally(t, ["qty", "tax", "disc"], ["min", "max", "sum"]).select(*KEYS, "`min(qty,tax,disc)`", "`max(qty,tax,disc)`", "`sum(qty,tax,disc)`"), f"select {K}, least(qty, tax, disc) \"min(qty,tax,disc)\", greatest(qty, tax, disc) \"max(qty,tax,disc)\", round(coalesce(qty, 0) + coalesce(tax, 0) + coalesce(disc, 0), 6) \"sum(qty,tax,disc)\" from t")
-on("line", "add_dummy", lambda t: C.add_dummy(t, "l_orderkey").select(*KEYS, "_dummy"))
+on("line", "add_dummy", lambda t: C.add_dummy(t, "l_orderkey").groupBy("_dummy").agg(F.count(F.lit(1)).alias("n")).select("_dummy", (F.abs(F.col("n") / F.sum("n").over(Window.partitionBy()) - 1 / 7) < 0.05).alias("even")), "select unnest(range(7)) _dummy, true even")
 
 # aggregates and scalar functions
 on("line", "abs_diff", lambda t: t.select(*KEYS, N.abs_diff("qty", F.lit(20.0)).alias("d")), f"select {K}, abs(20 - qty) d from t")

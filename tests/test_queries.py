@@ -6,7 +6,8 @@ from oracle import assert_same, connect
 from prepline import queries as core
 
 Q, SQL = core.queries(), core.oracle_sql()
-SLOW = {"ebfs", "permutation_importance", "suggest_hyperparams", "append_regression"}
+#: Trained dozens of times with the operators' defaults; their tests are in test_models.py.
+SLOW = {"ebfs", "permutation_importance", "suggest_hyperparams"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def test_same_as_sql(spark, small, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(Q) - set(SQL) - SLOW))
 def test_runs(spark, small, name):
-    assert Q[name](spark, small).columns
+    assert Q[name](spark, small).count() > 0
 
 
 def test_entry(spark):

@@ -13,7 +13,7 @@ class Called(Exception):
 
 
 @pytest.mark.parametrize("query, operator, set_", [
-    ("append_classif_score", "_fit", {"df", "target", "features"}), ("append_regression", "_fit", {"df", "target", "features"}), ("permutation_importance", "permutation_importance", {"df", "target"}),
+    ("append_classif_score", "_fit", {"df", "target", "features"}), ("append_regression", "_fit_regression", {"df", "target", "features"}), ("permutation_importance", "permutation_importance", {"df", "target"}),
     ("ebfs", "ebfs", {"df", "target"}), ("suggest_hyperparams", "suggest_hyperparams", {"df", "target", "features"}),
 ])
 def test_defaults(spark, small, monkeypatch, query, operator, set_):
