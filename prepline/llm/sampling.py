@@ -145,7 +145,7 @@ def sample_plans(df: DataFrame, plans: DataFrame, id_col: str = "id", part_col:
         .join(moments, ["part", "category"], "left")
         .withColumns({"available": F.coalesce("available", F.lit(0)), "moment": F.coalesce("moment", F.lit(0))})
         .withColumn("tilt", tilt(F.col("available"), F.col("required")))
-        .withColumn("probability", F.when(F.col("required") <= 0, 0.0).otherwise(F.coalesce(F.least(F.lit(1.0), F.exp(tilt(F.col("moment"), F.col("required")))), F.lit(0.0))))
+        .withColumn("probability", F.when((F.col("required") > 0) & (F.col("moment") > 0), F.least(F.lit(1.0), F.exp(tilt(F.col("moment"), F.col("required"))))).otherwise(0.0))
     )
     mass = F.least(F.col("moment"), F.greatest(F.lit(1), F.round(F.col("probability") * F.col("moment")).cast("bigint")))
     wanted = lines.where("probability > 0").select("plan_id", "part", "category", mass.alias("mass"), F.col("moment").alias("whole"))

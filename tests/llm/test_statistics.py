@@ -225,6 +225,7 @@ def test_sample_plans(spark):
     assert (r[1, "1"]["required"], r[1, "1"]["available"]) == (100, 100)
     assert r[1, "none"]["sampled"] == 1 and not r[1, "none"]["short"]
     assert r[2, "none"]["sampled"] == 4 and r[2, "1"]["short"] and r[3, "0"]["short"] and r[3, "0"]["gap"] == 10
+    assert r[3, "0"]["probability"] == 0 and r[2, "none"]["probability"] == pytest.approx(0.8)
     assert r[4, "0"]["required"] == 0 and r[4, "0"]["sampled"] == 0 and r[5, "1"]["required"] == 1
     assert r[1, "0"]["tilt"] == pytest.approx(math.log(100 / 901), abs=1e-9)
     s = got.sample
