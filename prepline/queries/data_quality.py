@@ -90,7 +90,7 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
 _WHOLE_SQL = (
     _PROFILE_SQL
     + """,
-tops as (select load_id, column_name, first(x order by n desc, x) top_number from cnt where x is not null group by 1, 2),
+tops as (select load_id, column_name, first(x order by n desc, x) + 0.0 top_number from cnt where x is not null group by 1, 2),
 numbers as (
   select p.load_id, p.column_name, n_rows, n_null, n_values, n_distinct, top_count, top_number, null::varchar top_words, low + 0.0 low, high, null::int shortest, null::int longest, 0 n_bad,
          n_outside, n_inside, bins, psi, case when n_inside > 0 then list_sum(list_transform(bins, lambda b: (b - 0.1 * n_inside) * (b - 0.1 * n_inside) / (0.1 * n_inside))) end chi2,
