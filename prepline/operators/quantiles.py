@@ -17,7 +17,7 @@ from prepline.functions.sqltext import name
 from prepline.session import cut
 
 #: Cells (rows times columns) up to which one aggregate may hold all values of a frame; the rows are counted.
-FEW_CELLS = 200_000
+FEW_CELLS = 2_000_000
 
 
 def is_few(df: DataFrame, rows: int) -> bool:
