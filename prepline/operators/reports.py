@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from prepline.functions.safe import INF, NAN, fdiv, finite, is_invalid, safe_corr
 from prepline.functions.sqltext import name
 from prepline.operators.encode import interval_sql
-from prepline.operators.infer import category_counts, infer_discretes
+from prepline.operators.infer import FEW_COLUMNS, category_counts, correlation_matrix, infer_discretes
 from prepline.operators.quantiles import SortedCounts, column_modes, column_quantiles, group_modes, group_quantiles, running, same
 from prepline.operators.schema import get_numeric_cols, get_string_cols, kinds
 from prepline.operators.strings import time_buckets
@@ -55,10 +55,13 @@ def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def corr_report(df: DataFrame, features: Sequence[str], targets: Sequence[str], method: str = "pearson") -> DataFrame:
-    """``features`` and one column of correlations per target; all pairs in one aggregate."""
+    """``features`` and one column of correlations per target; all pairs in one aggregate, of many columns in matrices."""
     cols = list(dict.fromkeys([*features, *targets]))
     if method not in ("pearson", "spearman"):
         raise ValueError(f"unknown method {method}")
+    if method == "pearson" and len(cols) > FEW_COLUMNS and len(cols) == len(features) + len(targets):
+        m = correlation_matrix(df, cols)[: len(features), len(features) :]
+        return df.sparkSession.createDataFrame([(f, *map(float, r)) for f, r in zip(features, m)], "features string, " + ", ".join(f"{name(t)} double" for t in targets))
     if method == "spearman":
         df, at = average_ranks(df.select(*map(name, cols)), cols), {c: f"r{i}" for i, c in enumerate(cols)}
     else:

@@ -45,8 +45,15 @@ def _keep(df: DataFrame, table: DataFrame, score: str, top_k: int, among: Sequen
 
 
 def abs_corr(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
-    """``feature, abs_corr``: absolute Pearson correlation with the target in one aggregate; -999 if undefined."""
+    """``feature, abs_corr``: absolute Pearson correlation with the target in one pass; -999 if undefined.
+
+    A few columns are one aggregate, more are rows of ``correlation_matrix``.
+    """
     cols = _numeric(df, target, cols)
+    if len(cols) > FEW_COLUMNS:
+        found = np.abs(correlation_matrix(df, [*cols, target])[:-1, -1])
+        rows = [(c, -999.0 if np.isnan(v) else float(v)) for c, v in zip(cols, found)]
+        return df.sparkSession.createDataFrame(rows, "feature string, abs_corr double").orderBy(F.desc("abs_corr"), "feature")
     wide = df.agg(*[safe_corr(name(c), name(target)).alias(f"r{i}") for i, c in enumerate(cols)])
     value = lambda i: F.when(F.isnan(f"r{i}") | F.col(f"r{i}").isNull(), -999.0).otherwise(F.abs(f"r{i}"))
     return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), value(i).alias("abs_corr")) for i, c in enumerate(cols)]))).orderBy(F.desc("abs_corr"), "feature")

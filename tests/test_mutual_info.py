@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from prepline.functions.special import digamma
 from prepline.operators.infer import correlation_matrix, infer_highly_correlated
-from prepline.operators.select import f_classif, mrmr, mrmr_engine, mutual_info
+from prepline.operators.reports import corr_report
+from prepline.operators.select import abs_corr, f_classif, mrmr, mrmr_engine, mutual_info
 
 
 def brute(x, t, k):
@@ -84,6 +85,16 @@ def test_variance_of_many_columns(wide, spark):
     assert len(mrmr(df, "t", 5, cols)) == 5
 
 
+def test_correlations_with_targets(wide):
+    df, x, t, cols = wide
+    m = {r["feature"]: r["abs_corr"] for r in abs_corr(df, "t", cols).collect()}
+    few = {r["feature"]: r["abs_corr"] for i in range(0, 30, 6) for r in abs_corr(df, "t", cols[i : i + 6]).collect()}
+    assert m["c7"] == few["c7"] == -999 and all(m[c] == pytest.approx(few[c], abs=1e-9) for c in cols)
+    many = {r["features"]: tuple(r)[1:] for r in corr_report(df, cols[:20], ["t", "c25"]).collect()}
+    one = {r["features"]: tuple(r)[1:] for r in corr_report(df, cols[:3], ["t", "c25"]).collect()}
+    assert all(many[c] == pytest.approx(one[c], abs=1e-9) for c in one) and np.isnan(many["c7"]).all() and len(many) == 20
+
+
 def test_rounds_of_selection(spark):
     df = spark.range(300).select(F.rand(1).alias("a"), F.rand(2).alias("b")).selectExpr("a", "b", "a + 0.01 * b near_a", "3.0 flat")
     score = {"a": 5.0, "b": 1.0, "near_a": 4.9, "flat": 0.0}
